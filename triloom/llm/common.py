@@ -87,7 +87,7 @@ def prefix_hash(data: np.ndarray, step: int = 1 << 22) -> np.ndarray:
         part *= power[: len(part)]
         np.cumsum(part * scale, out=out[a + 1 : a + 1 + len(part)])
         out[a + 1 : a + 1 + len(part)] += out[a]
-        scale = scale * power[-1] * _BASE
+        scale = np.multiply(np.multiply(scale, power[-1:]), _BASE)[0]  # as arrays: these wrap in silence
     return out
 
 
@@ -146,3 +146,31 @@ def batches(texts: list[bytes], limit: int = 8 << 20):
         size += len(t)
     if a < len(texts):
         yield a, len(texts)
+
+
+# --- arrays that travel by hash bucket ----------------------------------------------------------------
+
+
+def by_bucket(bucket: np.ndarray, records: np.ndarray):
+    """(bucket, bytes of its records) for each bucket that has any; records keep their order within one."""
+    if not len(records):
+        return
+    order = np.argsort(bucket, kind="stable")
+    sorted_bucket = bucket[order]
+    cut = np.flatnonzero(np.diff(sorted_bucket)) + 1
+    first = np.concatenate([[0], cut])
+    last = np.concatenate([cut, [len(order)]])
+    records = records[order]
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        yield int(sorted_bucket[a]), records[a:b].tobytes()
+
+
+def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A bucket in 0..n-1 from the high bits."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def unpacked(table, column: str, dtype) -> np.ndarray:
+    """The records of all rows of a binary column of an Arrow table."""
+    parts = [np.frombuffer(x.as_buffer(), dtype) for chunk in table.column(column).chunks for x in chunk if x.is_valid]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
