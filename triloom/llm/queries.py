@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, pii, piece_sampling, quality_cnn
+from . import media, mixing, pii, piece_sampling, quality_cnn, token_counts, topk
 from .common import read_table
 
 
@@ -13,10 +13,18 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_features(read_table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(read_table(spark, sf_dir, "documents"), token_counts.sample_edits())
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
@@ -35,4 +43,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.SQL.replace("{docs}", "documents")}
+    return {"op6_topk": topk.SQL, "op7_mixing": mixing.SQL.replace("{docs}", "documents")}
