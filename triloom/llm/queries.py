@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, media, mixing, pii, piece_sampling, quality_cnn, token_counts, topk
+from . import jaccard_join, media, mixing, pii, piece_sampling, quality_cnn, suffix_dedup, token_counts, topk
 from .common import read_table
 
 
@@ -17,6 +17,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(read_table(spark, sf_dir, "documents")).drop("k")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(read_table(spark, sf_dir, "documents"), token_counts.sample_edits())
 
