@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, media, mixing, pii, piece_sampling, quality_cnn, suffix_dedup, token_counts, topk
+from . import jaccard_join, media, mixing, pii, piece_sampling, pitman_yor, quality_cnn, suffix_dedup, token_counts, topk
 from .common import read_table
 
 
@@ -37,6 +37,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scores(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality_cnn.score(docs, quality_cnn.fit(docs, read_table(spark, sf_dir, "labels")))
