@@ -1,12 +1,58 @@
-"""The corpus pipeline: five stages, each on all that its predecessor kept."""
+"""The corpus pipeline: five stages, each on all that its predecessor kept.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from triloom.llm import jaccard_join, mixing, pii, piece_sampling, quality_cnn
+from triloom.llm.common import materialize, read_table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least 0.3."""
+    return quality_cnn.keep_good(docs, quality_cnn.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by 5-word shingles at 0.8 or more."""
+    return jaccard_join.keep_one(docs)
+
+
+def sanitise_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind, revealing words generalised or removed; n_chars follows the text."""
+    out = pii.sanitise(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks for."""
+    return mixing.mix(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, pieces, decoded_sha256, lossless."""
+    return piece_sampling.encode(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("PII", sanitise_pii),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding", sentencepiece),
+]
 
-#: No SQL expresses the classifier's and the sampler's stages.
+#: The classifier, the term scores and the sampled pieces have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
