@@ -2,7 +2,7 @@
 
 import pytest
 
-from tests.mini import NTRIPLES, PROLOGUE, QUERIES
+from triloom.sources.sample import NTRIPLES, PROLOGUE, QUERIES
 from triloom import GraphStore
 from triloom.plans import query_graph
 from triloom.plans.sparql import parse
