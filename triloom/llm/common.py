@@ -46,6 +46,21 @@ def materialize(df: DataFrame) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bytes of texts that a Python worker gets at once; with rows alone as the bound, long texts make batches large.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded in bytes (a bound that the session has chosen stays)."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "67108864b":  # the default
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
+    return df
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def partitions_for(spark: SparkSession, total_bytes: int, per_partition: int) -> int:
     """Partitions that hold per_partition bytes each, never fewer than the session asks for."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // per_partition), 1)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, batches, bucket_of, by_bucket, joined, materialize, prefix_hash, slice_hash, unpacked, whole_text, word_spans
+from .common import _LOWER, batches, bounded_batches, bucket_of, by_bucket, joined, materialize, prefix_hash, slice_hash, unpacked, whole_text, word_spans
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 WINDOW, SUPPORT, GENERALISE, REMOVE = 6, 2, 0.8, 0.95
@@ -143,7 +143,7 @@ def scan(docs: DataFrame, window: int = WINDOW, buckets: int = 64) -> DataFrame:
                     [pa.nulls(n, part.column(0).type), pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.int64()) for _ in range(4)), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, _NEAR_PA), pa.array([b for b, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())], names)
 
     text = whole_text()
-    return docs.select("doc_id", key_of("doc_id", text).alias("k"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, k long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near {_NEAR}, bucket int, counts binary")
+    return bounded_batches(docs).select("doc_id", key_of("doc_id", text).alias("k"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, k long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near {_NEAR}, bucket int, counts binary")
 
 
 def key_of(doc_id: str, text):
@@ -222,5 +222,5 @@ def sanitise(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
 
         return pd.Series([None if t is None else rewrite(t, base_spans(t) + ([(x["a"], x["kind"], x["b"]) for x in more] if more is not None else [])) for t, more in zip(text, terms, strict=True)], dtype=object)
 
-    out = docs.join(terms, docs["doc_id"].eqNullSafe(terms["_pii_id"]) & (key_of("doc_id", whole_text()) == terms["_pii_k"]), "left")
+    out = bounded_batches(docs).join(terms, docs["doc_id"].eqNullSafe(terms["_pii_id"]) & (key_of("doc_id", whole_text()) == terms["_pii_k"]), "left")
     return out.withColumn("text", rewritten(F.col("text"), F.col("_pii_terms"))).select(*[f"`{c}`" for c in docs.columns])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, fold_of, whole_text
+from .common import batches, bounded_batches, fold_of, whole_text
 
 BLOCK, CHUNK = 8, 64  # bytes a block, blocks a chunk
 ROWS, CHUNKS = 3000, 8
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chunks: int = CHUN
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = docs.sparkSession.createDataFrame([(k,) for k in label], f"doc_id {kind}")
-    texts = docs.select("doc_id", whole_text().cast("binary").alias("text")).join(F.broadcast(ids), "doc_id")  # at most ``rows`` ids
+    texts = bounded_batches(docs).select("doc_id", whole_text().cast("binary").alias("text")).join(F.broadcast(ids), "doc_id")  # at most ``rows`` ids
     found = {}
     for k, x in texts.mapInArrow(pick, f"doc_id {kind}, chunks binary").collect():
         found[k] = min(found.get(k, x), x)  # repeated ids: one text, the same each time
@@ -168,7 +168,7 @@ def score(docs: DataFrame, network: Network | None, threshold: float = 0.3, fold
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.bool_()), pa.array(out), pa.array((out >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole_text().cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return bounded_batches(docs).select("doc_id", whole_text().cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, network: Network | None, threshold: float = 0.3) -> DataFrame:
@@ -186,4 +186,4 @@ def keep_good(docs: DataFrame, network: Network | None, threshold: float = 0.3)
 
         return pd.Series(out)
 
-    return docs.where(quality(whole_text().cast("binary")) >= threshold)
+    return bounded_batches(docs).where(quality(whole_text().cast("binary")) >= threshold)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import bounded_batches, whole_text
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern of that public vocabulary (a fixed value).
@@ -189,7 +189,7 @@ def counts(docs: DataFrame, edits: Column | DataFrame | None = None, vocabulary:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in columns)], names)
 
-    return docs.select("doc_id", whole_text().alias("text"), own.alias("edits")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in names[1:]))
+    return bounded_batches(docs).select("doc_id", whole_text().alias("text"), own.alias("edits")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in names[1:]))
 
 
 def sample_edits() -> Column:
