@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import whole_text
+from .common import bounded_batches, whole_text
 
 WIDTH, HEIGHT, FPS = 16, 12, 25
 UNIT = WIDTH * HEIGHT
@@ -58,7 +58,6 @@ def _head(width: int, height: int) -> bytes:
 
 
 _HEAD = _head(WIDTH, HEIGHT)
-_HEAD += b""  # the scan follows at once
 
 
 def pack_bytes(payload: bytes, fps: int = FPS) -> bytes:
@@ -375,8 +374,8 @@ def histogram_differences(frames: np.ndarray, bins: int = 16) -> np.ndarray:
     return out
 
 
-def shots(diff: np.ndarray, around: int = 8, k: int = 2, least: int = 3) -> np.ndarray:
-    """First frames of shots: differences over mean + k sigma of the frames around, the largest within least frames.
+def shots(diff: np.ndarray, around: int = 8, k: int = 3, least: int = 3) -> np.ndarray:
+    """First frames of shots: differences over mean + k sigma of the others around, the largest within least frames.
 
     Whole numbers only, so that equal frames give equal cuts everywhere.
     """
@@ -386,7 +385,7 @@ def shots(diff: np.ndarray, around: int = 8, k: int = 2, least: int = 3) -> np.n
     at = np.arange(n)
     lo, hi = np.maximum(1, at - around), np.minimum(n, at + around + 1)
     s, q = np.concatenate([[0], np.cumsum(diff)]), np.concatenate([[0], np.cumsum(diff * diff)])
-    count, total, square = hi - lo, s[hi] - s[lo], q[hi] - q[lo]
+    count, total, square = hi - lo - 1, s[hi] - s[lo] - diff, q[hi] - q[lo] - diff * diff
     excess = diff * count - total
     high = (excess > 0) & (excess * excess > k * k * (count * square - total * total))
     high[0] = False
@@ -429,7 +428,7 @@ def clips(df: DataFrame, key: str, media: str) -> DataFrame:
             types = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(keys, part.column(0).type), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [key, *(x.split()[0] for x in CLIP_SCHEMA.split(", "))])
 
-    return df.select(key, media).mapInArrow(run, f"`{key}` {kind}, {CLIP_SCHEMA}")
+    return bounded_batches(df).select(key, media).mapInArrow(run, f"`{key}` {kind}, {CLIP_SCHEMA}")
 
 
 # --- texts as media -----------------------------------------------------------------------------------
@@ -448,7 +447,7 @@ def text_media(docs: DataFrame) -> DataFrame:
             media = [pack_bytes(padded(t.as_buffer().to_pybytes())) for t in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], ["doc_id", "media"])
 
-    return docs.select("doc_id", whole_text().cast("binary").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
+    return bounded_batches(docs).select("doc_id", whole_text().cast("binary").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
 
 
 def text_features(docs: DataFrame) -> DataFrame:
@@ -474,4 +473,4 @@ def text_features(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole_text().cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, n_clips long, feature string")
+    return bounded_batches(docs).select("doc_id", whole_text().cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, n_clips long, feature string")
