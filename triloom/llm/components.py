@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by minimum labels with pointer jumping."""
+"""Connected components of an edge table, by contraction along minimum neighbours."""
 
 from __future__ import annotations
 
@@ -11,17 +11,22 @@ from .common import materialize
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node of each node's component. Nulls and loops in edges link nothing.
 
-    Each round takes the least label among neighbours and then the label's own label, so that the number of
-    rounds grows as the logarithm of a component's width. Each round is written to the shared folder.
+    Each round sends a node to its least neighbour's least neighbour, contracts what has met, and goes on with the
+    edges that are left between different nodes; these shrink fast, and the rounds grow as the logarithm of a
+    component's width. Each round is written to the shared folder.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
     pairs = materialize(pairs.union(pairs.select("b", "a")).distinct())
-    labels = materialize(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    while True:
-        near = pairs.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        least = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("least"))
-        jump = labels.select(F.col("node").alias("least"), F.col("label").alias("next"))
-        new = materialize(least.join(jump, "least").select("node", F.least("least", "next").alias("label"), (F.least("least", "next") != F.col("old")).alias("moved")))
-        labels = new.select("node", "label")
-        if not new.where("moved").limit(1).count():
-            return labels
+    labels = None
+    while pairs.limit(1).count():
+        least = pairs.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("least"))
+        least = materialize(least)
+        jump = materialize(least.join(least.select(F.col("node").alias("least"), F.col("least").alias("to")), "least").select("node", "to"))
+        if labels is None:
+            labels = jump.select("node", F.col("to").alias("label"))
+        else:
+            labels = materialize(labels.join(jump.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        left = pairs.join(jump.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").select("x", "b")
+        left = left.where("x <> b").join(jump.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
+        pairs = materialize(left.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels
