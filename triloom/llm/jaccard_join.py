@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bucket_of, by_bucket, materialize, mix64, unpacked, whole_text, word_hashes
+from .common import batches, bounded_batches, bucket_of, by_bucket, materialize, mix64, unpacked, whole_text, word_hashes
 from .components import components
 
 CROWD = 32
@@ -115,7 +115,7 @@ class Grids:
 
 
 def _binary_texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", whole_text().cast("binary").alias("text"))
+    return bounded_batches(docs).select("doc_id", whole_text().cast("binary").alias("text"))
 
 
 def set_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -124,10 +124,13 @@ def set_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def run(parts):
         grids = Grids(num, den)
         for part in parts:
-            sets = shingle_sets([t.as_buffer().to_pybytes() for t in part.column(1)], k)
-            key = np.array([set_key(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            n = np.array([len(s) for s in sets], np.int64)
-            plain = [grids.keys(s)[1] for s in sets]
+            raw, key, n, plain = [t.as_buffer().to_pybytes() for t in part.column(1)], [], [], []
+            for i, j in batches(raw, 2 << 20):
+                for s in shingle_sets(raw[i:j], k):
+                    key.append(set_key(s) if len(s) else 0)
+                    n.append(len(s))
+                    plain.append(grids.keys(s)[1])
+            key, n = np.array(key, np.uint64).view(np.int64), np.array(n, np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(key, mask=n == 0), pa.array(plain, pa.bool_())], ["doc_id", "n_shingles", "k", "plain"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -140,16 +143,18 @@ def region_keys(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> Da
     def run(parts):
         grids = Grids(num, den)
         for part in parts:
-            sets = {}
-            for s in shingle_sets([t.as_buffer().to_pybytes() for t in part.column(1)], k):
-                if len(s):
-                    sets.setdefault(int(set_key(s)), s)
-            sig, key, size = [], [], []
-            for own, s in sets.items():
-                for grid, a, keys in grids.keys(s)[0]:
-                    sig.append(keys & np.uint64(_M64 ^ 0xFFFF) | np.uint64(grid << 8 | min(a, 255)))
-                    key.append(own)
-                    size.append(len(keys))
+            sig, key, size, seen = [], [], [], set()
+            raw = [t.as_buffer().to_pybytes() for t in part.column(1)]
+            for i, j in batches(raw, 2 << 20):
+                for s in shingle_sets(raw[i:j], k):
+                    own = int(set_key(s)) if len(s) else None
+                    if own is None or own in seen:
+                        continue
+                    seen.add(own)
+                    for grid, a, keys in grids.keys(s)[0]:
+                        sig.append(keys & np.uint64(_M64 ^ 0xFFFF) | np.uint64(grid << 8 | min(a, 255)))
+                        key.append(own)
+                        size.append(len(keys))
             if sig:
                 rows = np.empty(sum(size), _ROW)
                 rows["sig"], rows["k"] = np.concatenate(sig), np.repeat(np.array(key, np.uint64), size)
@@ -294,7 +299,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(right)), pa.array(key[right]), pa.array([s.tobytes() for s, ok in zip(sets, right.tolist(), strict=True) if ok], pa.binary())], ["unit", "k", "set"])
 
     w = wanted.select("unit", "k", F.col("doc_id").alias("_id"))
-    joined = _binary_texts(docs).join(w, F.col("doc_id").eqNullSafe(F.col("_id"))).select("unit", "k", "text")
+    joined = _binary_texts(docs).join(w.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("unit", "k", "text")
     return joined.mapInArrow(run, "unit long, k long, set binary")
 
 
