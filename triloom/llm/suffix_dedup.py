@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, batches, bucket_of, by_bucket, joined, materialize, mix64, partitions_for, prefix_hash, slice_hash, unpacked, whole_text
+from .common import _BYTE, batches, bounded_batches, bucket_of, by_bucket, joined, materialize, mix64, partitions_for, prefix_hash, slice_hash, unpacked, whole_text
 
 LENGTH = 200
 WINDOW = 32
@@ -63,7 +63,7 @@ def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 def runs(texts: list[bytes], keys: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """All runs of texts: strings that start at lo to hi have the same trigger."""
     out = []
-    for a, b in batches(texts, 2 << 20):
+    for a, b in batches(texts, 1 << 19):
         data, starts = joined(texts[a:b])
         if len(data) < length:
             continue
@@ -316,7 +316,7 @@ def _keyed(docs: DataFrame, shards: int) -> DataFrame:
     text = whole_text()
     k = F.xxhash64(text, F.col("doc_id"))
     # the same shard as _shard_of gives
-    return docs.select("doc_id", k.alias("k"), text.cast("binary").alias("text")).withColumn("shard", _jvm_shard(shards))
+    return bounded_batches(docs).select("doc_id", k.alias("k"), text.cast("binary").alias("text")).withColumn("shard", _jvm_shard(shards))
 
 
 def _jvm_shard(shards: int):
@@ -354,11 +354,11 @@ def _cut(length: int, with_text: bool):
                 kept.append(text[at:lo])
                 at = hi
             left = b"".join([*kept, text[at:]])
-            rows.append((len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left if with_text else None))
+            rows.append((len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left.decode(errors="replace") if with_text else None))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         out = {"doc_id": docs["doc_id"], "k": docs["k"], "n_bytes": pa.array(columns[0], pa.int64()), "n_removed": pa.array(columns[1], pa.int64()), "n_spans": pa.array(columns[2], pa.int64()), "kept_sha256": pa.array(columns[3], pa.string())}
         if with_text:
-            out["kept"] = pa.array(columns[4], pa.binary())
+            out["kept"] = pa.array(columns[4], pa.string())
         return pa.table(out)
 
     cut.__annotations__ = {"docs": pa.Table, "found": pa.Table, "return": pa.Table}
@@ -366,7 +366,7 @@ def _cut(length: int, with_text: bool):
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """doc_id, k, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes, for each row."""
+    """doc_id, k, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept text, for each row."""
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length(whole_text())), F.lit(0))).first()[0]
     shards = partitions_for(spark, total, 16 << 20)
@@ -377,12 +377,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> D
     resolved = materialize(contexts.groupBy("bucket").applyInArrow(_resolve(shards, length), "shard int, found binary"))
     found = judged.where("found IS NOT NULL").select("shard", "found").unionByName(resolved).groupBy("shard")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    schema = f"doc_id {kind}, k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
     return keyed.groupBy("shard").cogroup(found).applyInArrow(_cut(length, with_text), schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeated strings cut out of the text (broken characters become U+FFFD); a null text stays null."""
-    kept = repeats(docs, length, True).select(F.col("doc_id").alias("_cut_id"), F.col("k").alias("_cut_k"), F.decode("kept", F.lit("UTF-8")).alias("_cut_text")).dropDuplicates(["_cut_id", "_cut_k"])
+    kept = repeats(docs, length, True).select(F.col("doc_id").alias("_cut_id"), F.col("k").alias("_cut_k"), F.col("kept").alias("_cut_text")).dropDuplicates(["_cut_id", "_cut_k"])
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_cut_id"]) & (F.xxhash64(whole_text(), F.col("doc_id")) == kept["_cut_k"]), "left")
     return out.withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("_cut_text"))).select(*[f"`{c}`" for c in docs.columns])
