@@ -55,4 +55,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": topk.SQL, "op7_mixing": mixing.SQL.replace("{docs}", "documents")}
+    return {"op2_jaccard_join": jaccard_join.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op6_topk": topk.SQL, "op7_mixing": mixing.SQL.replace("{docs}", "documents")}

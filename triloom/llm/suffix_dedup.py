@@ -386,3 +386,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kept = repeats(docs, length, True).select(F.col("doc_id").alias("_cut_id"), F.col("k").alias("_cut_k"), F.col("kept").alias("_cut_text")).dropDuplicates(["_cut_id", "_cut_k"])
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_cut_id"]) & (F.xxhash64(whole_text(), F.col("doc_id")) == kept["_cut_k"]), "left")
     return out.withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("_cut_text"))).select(*[f"`{c}`" for c in docs.columns])
+
+
+#: DuckDB SQL for repeats(documents) without k.
+SQL = r"""
+WITH n AS (SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, md5_number(t[i + 1:i + 200]) AS g FROM (SELECT doc_id, t, unnest(range(0, n - 199)) AS i FROM n)),
+hot AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM win JOIN hot USING (g)),
+runs AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit),
+spans AS (SELECT doc_id, r, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY doc_id, r),
+cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM spans),
+parts AS (SELECT doc_id, string_agg(hex(t[c + 1:a]), '' ORDER BY a) AS kept, max(b) AS last, sum(b - a) AS gone, count(*) AS k FROM cuts JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(k, 0) AS BIGINT) AS n_spans, sha256(CASE WHEN k IS NULL THEN t ELSE unhex(concat(kept, hex(t[last + 1:]))) END) AS kept_sha256 FROM n LEFT JOIN parts ON parts.doc_id = n.doc_id
+"""
