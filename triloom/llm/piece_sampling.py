@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import _BASE, _inverse_powers, _powers, batches, mix64, whole_text
+from .common import _BASE, _inverse_powers, _powers, batches, bounded_batches, mix64, whole_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _NONE = -0x200000  # below the negated code points
@@ -102,59 +102,62 @@ def _prefix(code: np.ndarray) -> np.ndarray:
 
 
 def _lattice(code: np.ndarray, starts: np.ndarray, p: Pieces):
-    """Edges of the units' lattices, by end: for each node the first edge; for each edge its start, piece and the
-    node plus cumulative probability. Node of place j in unit k: starts[k] + k + j."""
-    unit = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    end = starts[unit + 1]
+    """Edges of the units' lattices. For each node (place j of unit k is starts[k] + k + j) its first edge; for each edge,
+    those of a node together and long ones first, where it comes from, its piece and the node's cumulative probability."""
+    unit = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
+    end = starts[1:].astype(np.int32)[unit]
     prefix = _prefix(code)
-    at = np.arange(len(code))
-    inverse = _inverse_powers(at)
-    e_from, e_to, e_piece, e_weight = [], [], [], []
+    s = np.arange(len(code), dtype=np.int32)
+    inverse = _inverse_powers(s)
+    begin, size, piece, weight = [], [], [], []
     single = np.zeros(len(code), bool)
     for length in range(1, p.longest + 1):
-        s = at if length == 1 else s[s + length <= end[s]]  # noqa: F821
+        if length > 1:
+            s = s[s + length <= end[s]]
         if not len(s):
             break
         ok, where = p.find(_finish((prefix[s + length] - prefix[s]) * inverse[s], length))
         if length == 1:
             single[ok] = True
-        e_from.append(s[ok])
-        e_to.append(s[ok] + length)
-        e_piece.append(p.ids[where])
-        e_weight.append(p.weights[where])
-    spelled = np.flatnonzero(~single)
-    e_from.append(spelled)
-    e_to.append(spelled + 1)
-    e_piece.append(-code[spelled].astype(np.int64) - 1)
-    e_weight.append(np.full(len(spelled), p.rare))
-    e_from, e_to, e_piece, e_weight = map(np.concatenate, (e_from, e_to, e_piece, e_weight))
-    k = unit[e_from]
-    depth = e_to - starts[k]
-    e_from, e_to = e_from + k, e_to + k
+        begin.append(s[ok])
+        size.append(np.full(len(ok), length, np.int32))
+        piece.append(p.ids[where].astype(np.int32))
+        weight.append(p.weights[where])
+    spelled = np.flatnonzero(~single).astype(np.int32)
+    begin.append(spelled)
+    size.append(np.ones(len(spelled), np.int32))
+    piece.append(-code[spelled].astype(np.int32) - 1)
+    weight.append(np.full(len(spelled), p.rare))
+    begin, size, piece, weight = map(np.concatenate, (begin, size, piece, weight))
+    depth = begin + size - starts.astype(np.int32)[unit[begin]]
+    begin += unit[begin]
     # forward filtering, all units at once, by place in the unit
-    order = np.lexsort((e_to, depth))
-    e_from, e_to, e_piece, e_weight, depth = e_from[order], e_to[order], e_piece[order], e_weight[order], depth[order]
-    total = np.zeros(len(code) + len(starts))
-    share = np.empty(len(order))
-    level = np.flatnonzero(np.diff(depth, prepend=0, append=np.iinfo(np.int64).max))
-    head = np.diff(e_to, prepend=-1) != 0
-    for a, b in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
-        x = total[e_from[a:b]] + e_weight[a:b]
-        first = np.flatnonzero(head[a:b])
-        sizes = np.diff(np.append(first, b - a))
-        top = np.maximum.reduceat(x, first)
-        y = np.exp(x - np.repeat(top, sizes))
-        s = np.add.reduceat(y, first)
-        total[e_to[a:b][first]] = top + np.log(s)
-        share[a:b] = y / np.repeat(s, sizes)
-    order = np.argsort(e_to, kind="stable")
-    e_from, e_to, e_piece, share = e_from[order], e_to[order], e_piece[order], share[order]
+    order = np.argsort(depth.astype(np.int64) << 40 | (begin + size).astype(np.int64) << 8 | 255 - size)
+    begin, piece, weight, depth = begin[order], piece[order], weight[order], depth[order]
+    to = begin + size[order]
+    head = np.diff(to, prepend=-1) != 0
+    first = np.flatnonzero(head)
+    sizes = np.diff(np.append(first, len(to)))
+    node_of = np.cumsum(head) - 1
+    level = np.flatnonzero(np.diff(depth[first], prepend=0, append=np.iinfo(np.int32).max))
+    total, share = np.zeros(len(code) + len(starts)), np.empty(len(to))
+    for i, j in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
+        a, b = int(first[i]), int(first[j]) if j < len(first) else len(to)
+        heads, group = first[i:j] - a, node_of[a:b] - i
+        x = total[begin[a:b]] + weight[a:b]
+        top = np.maximum.reduceat(x, heads)
+        x -= top[group]
+        np.exp(x, out=x)
+        sums = np.add.reduceat(x, heads)
+        total[to[first[i:j]]] = top + np.log(sums)
+        x /= sums[group]
+        share[a:b] = x
     run = np.cumsum(share)
-    head = np.flatnonzero(np.diff(e_to, prepend=-1))
-    run -= np.repeat(run[head] - share[head], np.diff(np.append(head, len(run))))
-    last = np.append(head[1:], len(run)) - 1
-    run[last] = 1.0
-    return e_from, e_piece, e_to + np.minimum(run, 1.0)
+    run -= np.repeat(run[first] - share[first], sizes)
+    run[first + sizes - 1] = np.inf
+    edge = np.zeros(len(total), np.int32)
+    edge[to[first]] = first
+    return edge, begin, piece, run
 
 
 def sample(texts: list[str], keys: np.ndarray, p: Pieces, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +179,7 @@ def sample(texts: list[str], keys: np.ndarray, p: Pieces, seed: int = 0) -> tupl
     length = end[example] - begin[example]
     starts = np.concatenate([[0], np.cumsum(length)])
     own = code[np.repeat(begin[example] - starts[:-1], length) + np.arange(starts[-1])]
-    e_from, e_piece, e_key = _lattice(own, starts, p)
+    edge, e_from, e_piece, run = _lattice(own, starts, p)
     of = np.searchsorted(first, begin, "right") - 1
     number = np.arange(len(begin)) - np.searchsorted(begin, first)[of]
     salt = mix64(keys.astype(np.uint64)[of] + np.uint64(seed * 0x9FB21C651E98DF25 & (1 << 64) - 1)) ^ mix64(number.astype(np.uint64) + np.uint64(1))
@@ -186,7 +189,11 @@ def sample(texts: list[str], keys: np.ndarray, p: Pieces, seed: int = 0) -> tupl
     steps, count = [], np.zeros(len(begin), np.int64)
     while len(alive):  # backward sampling, one piece of each unit a step
         u = (mix64(salt[alive] + np.uint64(len(steps) * int(_BASE) & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        e = np.searchsorted(e_key, node[alive] + u, "right")
+        e = edge[node[alive]]
+        more = np.flatnonzero(u >= run[e])
+        while len(more):  # few go past the first edges
+            e[more] += 1
+            more = more[u[more] >= run[e[more]]]
         steps.append((alive, e_piece[e]))
         count[alive] += 1
         node[alive] = e_from[e]
@@ -231,7 +238,7 @@ def encode(docs: DataFrame, model: str = MODEL, alpha: float = 1.0, seed: int =
         for part in parts:
             raw = [t.as_buffer().to_pybytes() for t in part.column(1)]
             keys = row_keys(part.column(0).to_pylist())
-            for a, b in batches(raw, 4 << 20):
+            for a, b in batches(raw, 1 << 20):
                 ids, cuts = sample([t.decode() for t in raw[a:b]], keys[a:b], p, seed)
                 flat, digest, same = ids.tolist(), [], []
                 for i in range(b - a):
@@ -241,7 +248,7 @@ def encode(docs: DataFrame, model: str = MODEL, alpha: float = 1.0, seed: int =
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array(np.diff(cuts)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids)), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "pieces", "decoded_sha256", "lossless"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole_text().cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_pieces long, pieces array<int>, decoded_sha256 string, lossless boolean")
+    return bounded_batches(docs).select("doc_id", whole_text().cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_pieces long, pieces array<int>, decoded_sha256 string, lossless boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
