@@ -195,3 +195,18 @@ def test_saved_by_predicate_prunes(spark, mini, tmp_path):
     store = GraphStore.from_triples(mini).save(str(tmp_path / "g"), encoded=False)
     plan = store.sparql(PROLOGUE + "SELECT ?s ?n { ?s foaf:name ?n }")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(pid" in plan
+
+
+def test_table_stars_are_one_scan(spark, tmp_path):
+    from triloom.sources.tables import BASE, TableGraph
+
+    data = [(1, "a", 1, 5.0, "X"), (2, 'q"\\', 1, -1.5, None), (3, "1", 2, 5.0, "X"), (4, None, 2, 0.0, "Y")]
+    spark.createDataFrame(data, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    graph = TableGraph(spark, str(tmp_path), ("customer",))
+    flat = GraphStore.from_triples(graph.triples())
+    prefix = f"PREFIX c: <{BASE}/customer#> PREFIX k: <{BASE}/class/> "
+    for body in ("?s c:c_name ?n ; c:c_nationkey ?k ; a k:customer", f'?s c:c_mktsegment "X"^^<{XSD}string> ; c:c_acctbal ?n', "?s c:c_name ?n ; c:c_mktsegment ?n", "?s c:c_acctbal ?n . ?s c:c_acctbal ?n", "?s c:c_name ?n . ?s c:c_nationkey ?s", f'?s c:c_acctbal "5.0"^^<{XSD}double> ; c:c_nationkey <{BASE}/nation/2> ; ?p ?n', f'?s a k:customer ; c:c_name "q\\"\\\\"^^<{XSD}string> ; c:c_acctbal ?n', "?s c:c_name ?n . ?t c:c_nationkey ?k ; c:c_mktsegment ?m . ?s c:c_nationkey ?k"):
+        text = prefix + f"SELECT ?s ?n {{ {body} }}"
+        assert rows(GraphStore(graph).sparql(text)) == rows(flat.sparql(text)), body
+    plan = GraphStore(graph).sparql(prefix + "SELECT * { ?s c:c_name ?n ; c:c_acctbal ?b ; c:c_nationkey ?k }")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

@@ -53,8 +53,17 @@ def join(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def component_bindings(graph, patterns: list[Pattern]) -> DataFrame:
-    ordered = order(patterns, graph.selectivity)
-    return reduce(join, [pattern_bindings(graph, p) for p in ordered])
+    """The component's patterns in their join order. Where the graph stores a star's predicates side by side, as tables
+    do, the star is one scan and its patterns need no joins."""
+    rest, parts = order(patterns, graph.selectivity), []
+    while rest:
+        star = graph.star_of(rest[0], rest) if hasattr(graph, "star_of") else []
+        if len(star) > 1:
+            parts.append(graph.star_bindings(star))
+            rest = [p for p in rest if p not in star]
+        else:
+            parts.append(pattern_bindings(graph, rest.pop(0)))
+    return reduce(join, parts)
 
 
 def bindings(graph, query: Query) -> DataFrame:

@@ -140,6 +140,38 @@ class TableGraph:
         both = F.explode(F.array(*[F.struct(p.alias("p"), o.alias("o")) for p, o in pairs]))
         return df.select(self._subject(table, df).alias("s"), both.alias("x")).where("x.o IS NOT NULL").select("s", "x.p", "x.o")
 
+    def _home(self, pattern) -> str | None:
+        """The table whose rows answer a pattern with a variable subject and a known predicate."""
+        if isinstance(pattern.s, str) or not isinstance(pattern.p, str):
+            return None
+        if pattern.p == RDF_TYPE:
+            return next((t for t in self.tables if pattern.o == class_iri(t)), None)
+        return self._of.get(pattern.p, (None,))[0]
+
+    def star_of(self, first, patterns: list) -> list:
+        """The patterns that the same rows of one table answer as first."""
+        table = self._home(first)
+        return [p for p in patterns if table and p.s == first.s and self._home(p) == table]
+
+    def star_bindings(self, star: list) -> DataFrame:
+        """A star's bindings by one scan: a row has one value of each column, so no pattern multiplies it."""
+        table = self._home(star[0])
+        df = self._read(table)
+        subject = f"?{star[0].s.name}"
+        columns: dict[str, Column] = {subject: self._subject(table, df)}
+        for p in star:
+            if p.p == RDF_TYPE:
+                continue
+            column = self._of[p.p][1]
+            term = self._object(table, column)
+            if isinstance(p.o, str):
+                df = self._only(df, table, column, p.o).where(term == F.lit(p.o))
+            else:
+                name = f"?{p.o.name}"
+                df = df.where(F.col(column).isNotNull() if name not in columns else columns[name] == term)
+                columns.setdefault(name, term)
+        return df.select(*[c.alias(n) for n, c in columns.items()])
+
     def triples(self) -> DataFrame:
         return self.scan()
 
