@@ -83,3 +83,12 @@ def test_components(spark):
             root[max(x, y)] = min(x, y)
     assert got == {i: find(i) for i in list(root)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keep_one_with_null_ids_and_an_id_with_two_texts(spark):
+    a, b, c, d, e = (prose(40, 900 + i) for i in range(5))
+    ids = [(None, a), (None, a), (None, b), (None, ""), (None, None), (5, c), (6, c), (6, d), (7, e), (None, e), (8, ""), (8, "")]
+    data = [(i, *r[1:]) for (i, t), r in zip(ids, rows([t for _, t in ids]), strict=True)]
+    got = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(frame(spark, data)).collect()]
+    want = [(None, a), (None, b), (None, ""), (None, None), (5, c), (6, d), (7, e), (8, "")]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))

@@ -418,28 +418,52 @@ def _plain_links(docs: DataFrame, table: DataFrame, classes: DataFrame, k: int,
     return out
 
 
-def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) for each row of docs."""
+def _labelled(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The set table, and k, doc_id and label (the same for linked classes) of each class."""
     table, classes, links = classes_and_links(docs, k, num, den)
     label = components(links).select(F.col("node").alias("k"), "label")
-    named = classes.join(label, "k", "left").select("k", "doc_id", F.coalesce("label", "k").alias("label"))
+    return table, classes.join(label, "k", "left").select("k", "doc_id", F.coalesce("label", "k").alias("label"))
+
+
+def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links) for each row of docs."""
+    table, named = _labelled(docs, k, num, den)
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = named.join(least, "label").select("k", "component_id")
     return table.join(found, "k", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _class_of(k: int):
+    @F.pandas_udf("long")
+    def class_of(text):
+        import pandas as pd
+
+        out, raw = [], list(text)
+        for a, b in batches(raw, 2 << 20):
+            out += [int(set_key(s).view(np.int64)) if len(s) else None for s in shingle_sets(raw[a:b], k)]
+        return pd.Series(out + [None] * (len(raw) - len(out)), dtype="Int64")
+
+    return class_of
+
+
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each group, that of the smallest id; texts without words all stay.
 
-    Of repeated rows of an id the first in order of all columns' hash stays.
+    Rows are told apart by their id and their own text's class, so that each group keeps one row if its ids are null
+    or stand at other texts too. Of repeated rows of an id and class, and of an id's texts without words, the first in
+    order of all columns' hash stays.
     """
     from pyspark.sql import Window
 
-    found = similar_documents(docs, k, num, den)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.lit(1).alias("_one")).select(F.col("doc_id").alias("_keep_id"))
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep_id"]), "left_semi").withColumn("_row", F.row_number().over(order))
-    return out.where(F.col("_row") == 1).select(*[f"`{c}`" for c in docs.columns])
+    _, named = _labelled(docs, k, num, den)
+    first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k")).alias("x")).select(F.col("x.k").alias("_k"), F.col("x.doc_id").alias("_id"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = bounded_batches(docs).select("doc_id", F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("h"), _class_of(k)(whole_text().cast("binary")).alias("k"))
+    kept = rows.join(first, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = kept.unionByName(rows.where("k IS NULL AND doc_id IS NOT NULL"))
+    kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "k").orderBy("h"))).where("n = 1").select("row")
+    out = kept.union(rows.where("k IS NULL AND doc_id IS NULL").select("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 #: DuckDB SQL for similar_documents(documents, 4, 85, 100).
