@@ -55,3 +55,17 @@ def test_whole_document_counts():
     net = quality_cnn.Network(rng.normal(0, 0.3, (dims, 8)).astype(np.float32), np.zeros(8, np.float32), np.ones(16), 0.0)
     a = b"plain text " * 2000
     assert net.scores([a])[0] != net.scores([a + b"THE END!!!!!!!!!!!"])[0]
+
+
+def test_training_sees_whole_texts(spark, monkeypatch):
+    texts = [prose(4000, 1), prose(30, 2), "", "x" * 504]
+    seen = {}
+    monkeypatch.setattr(quality_cnn, "train", lambda chunks, of, label: seen.update(chunks=chunks, of=of))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:4]
+    docs = frame(spark, [(i, *r[1:]) for i, r in zip(ids, rows(texts), strict=True)])
+    quality_cnn.fit(docs, spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int"))
+    for k, t in enumerate(texts):
+        own = seen["chunks"][seen["of"] == k]
+        raw = t.encode()
+        assert len(own) == (len(raw) + 8) // 512 + 1  # as many as scoring pools over
+        assert own[:, :-1].tobytes().rstrip(b"\0") == raw

@@ -5,8 +5,8 @@ a random code), learned filters are applied to each window, rectified and max-po
 windows; the chunks' maxima are combined by mean and maximum into one logistic probability. Neighbouring
 windows, and so neighbouring chunks, overlap by 8 bytes.
 
-Fitting takes at most ``rows`` labelled rows (by hash of the id, so reruns agree), each with at most
-``chunks`` chunks spread evenly over its text; scoring always covers whole texts.
+Fitting takes at most ``rows`` labelled rows (by hash of the id, so reruns agree), as many of them as hold at most
+``most`` bytes; fitting and scoring cover whole texts, so both pool over the same chunks.
 
 Null and empty texts get the score of an empty chunk; rows with a null label or null id teach nothing; if an
 id has several labels, their mean decides (a tie is 1); without any labels the score is 0.5; repeated rows get
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import batches, bounded_batches, fold_of, whole_text
 
 BLOCK, CHUNK = 8, 64  # bytes a block, blocks a chunk
-ROWS, CHUNKS = 3000, 8
+ROWS, BYTES = 3000, 64 << 20
+PIECE = 256  # chunks whose windows training holds at once
 
 
 def _byte_vectors(random_dims: int = 6, seed: int = 9) -> np.ndarray:
@@ -52,11 +53,12 @@ class Network:
         """Rectified maxima of each filter over each chunk; blocks: bytes (n, 8) and one more block at the end."""
         x = _VECTORS[blocks].reshape(len(blocks), -1)
         half = x.shape[1]
-        z = x[:-1] @ self.filters[:half]
-        z += x[1:] @ self.filters[half:]
+        # a product for each chunk, so that a chunk's result doesn't depend on where it stands
+        z = x[:-1].reshape(-1, CHUNK, half) @ self.filters[:half]
+        z += x[1:].reshape(-1, CHUNK, half) @ self.filters[half:]
         z += self.bias
-        z[~valid] = 0
-        return np.maximum(z.reshape(-1, CHUNK, z.shape[1]).max(1), 0)
+        z[~valid.reshape(-1, CHUNK)] = 0
+        return np.maximum(z.max(1), 0)
 
     def scores(self, texts: list[bytes], piece: int = 1 << 15) -> np.ndarray:
         counts = np.array([(len(t) + BLOCK) // (BLOCK * CHUNK) + 1 for t in texts], np.int64)
@@ -71,10 +73,16 @@ class Network:
         return self.combine(np.add.reduceat(pooled, starts[:-1]) / counts[:, None], np.maximum.reduceat(pooled, starts[:-1]))
 
     def combine(self, mean: np.ndarray, top: np.ndarray) -> np.ndarray:
-        logit = np.concatenate([mean, top], 1).astype(np.float64) @ self.out + self.out_bias
+        logit = (np.concatenate([mean, top], 1).astype(np.float64) * self.out).sum(1) + self.out_bias
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+def _windows(chunks: np.ndarray) -> np.ndarray:
+    """The vectors of each window (n, 64, two blocks)."""
+    x = _VECTORS[chunks].reshape(len(chunks), CHUNK + 1, -1)
+    return np.concatenate([x[:, :-1], x[:, 1:]], 2)
+
+
 def train(chunks: np.ndarray, of: np.ndarray, label: np.ndarray, filters: int = 32, epochs: int = 10, step: int = 48, seed: int = 1) -> Network | None:
     """Fit by Adam. chunks: bytes (n, 65, 8), of: row of each chunk (ascending), label: 0 or 1 by row."""
     if not len(label):
@@ -91,11 +99,12 @@ def train(chunks: np.ndarray, of: np.ndarray, label: np.ndarray, filters: int =
             n = first[rows + 1] - first[rows]
             take = np.concatenate([np.arange(first[r], first[r + 1]) for r in rows])
             at = np.concatenate([[0], np.cumsum(n)])[:-1]
-            x = _VECTORS[chunks[take]].reshape(len(take), CHUNK + 1, half)
-            window = np.concatenate([x[:, :-1], x[:, 1:]], 2)
-            z = (window.reshape(-1, 2 * half) @ p[0]).reshape(len(take), CHUNK, filters) + p[1]
-            best = z.argmax(1)
-            pooled = np.maximum(np.take_along_axis(z, best[:, None], 1)[:, 0], 0)
+            pieces = [slice(i, i + PIECE) for i in range(0, len(take), PIECE)]
+            best, pooled = np.empty((len(take), filters), np.int64), np.empty((len(take), filters), np.float32)
+            for i in pieces:
+                z = (_windows(chunks[take[i]]).reshape(-1, 2 * half) @ p[0]).reshape(-1, CHUNK, filters) + p[1]
+                best[i] = z.argmax(1)
+                pooled[i] = np.maximum(np.take_along_axis(z, best[i][:, None], 1)[:, 0], 0)
             mean, top = np.add.reduceat(pooled, at) / n[:, None], np.maximum.reduceat(pooled, at)
             feature = np.concatenate([mean, top], 1)
             prob = 1 / (1 + np.exp(-np.clip(feature @ p[2] + p[3], -30, 30)))
@@ -104,7 +113,8 @@ def train(chunks: np.ndarray, of: np.ndarray, label: np.ndarray, filters: int =
             row = np.repeat(np.arange(len(rows)), n)
             dz = (df[:, :filters] / n[:, None])[row] + df[:, filters:][row] * (pooled == top[row])
             dz = (dz * (pooled > 0)).astype(np.float32)
-            grads = [np.einsum("cf,cfw->wf", dz, window[np.arange(len(take))[:, None], best], optimize=True), dz.sum(0), feature.T @ d + 1e-4 * p[2], np.array([d.sum()])]
+            by_filter = sum(np.einsum("cf,cfw->wf", dz[i], _windows(chunks[take[i]])[np.arange(len(take[i]))[:, None], best[i]], optimize=True) for i in pieces)
+            grads = [by_filter, dz.sum(0), feature.T @ d + 1e-4 * p[2], np.array([d.sum()])]
             t += 1
             rate = 0.01 * (1 - epoch / epochs) + 0.0005
             for k, g in enumerate(grads):
@@ -114,43 +124,46 @@ def train(chunks: np.ndarray, of: np.ndarray, label: np.ndarray, filters: int =
     return Network(p[0], p[1], p[2], float(p[3][0]))
 
 
-def spread_chunks(text: bytes, most: int) -> np.ndarray:
-    """At most ``most`` chunks, spread evenly over the whole text, as bytes (n, 65, 8)."""
+def all_chunks(text: bytes) -> np.ndarray:
+    """The chunks of a text that scoring pools over, as bytes (n, 65, 8)."""
     total = (len(text) + BLOCK) // (BLOCK * CHUNK) + 1
     data = np.zeros((total * CHUNK + 1) * BLOCK, np.uint8)
     data[: len(text)] = np.frombuffer(text, np.uint8)
-    picks = np.unique(np.linspace(0, total - 1, min(most, total)).astype(np.int64))
-    return np.stack([data[k * CHUNK * BLOCK : ((k + 1) * CHUNK + 1) * BLOCK].reshape(-1, BLOCK) for k in picks])
+    blocks = data.reshape(-1, BLOCK)
+    return np.stack([blocks[k * CHUNK : (k + 1) * CHUNK + 1] for k in range(total)])
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chunks: int = CHUNKS, folds: int = 5) -> Network | None:
-    """Learn labels.quality from at most ``rows`` rows outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most: int = BYTES, folds: int = 5) -> Network | None:
+    """Learn labels.quality from at most ``rows`` rows outside the held-out fold, with their whole texts."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"), folds))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     label = dict(sample.select("doc_id", "quality").collect())
     if not label:
         return None
-
-    def pick(parts):
-        for part in parts:
-            kept = [(k, spread_chunks(t.as_buffer().to_pybytes(), chunks).tobytes()) for k, t in zip(part.column(0).to_pylist(), part.column(1), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], part.column(0).type), pa.array([x for _, x in kept], pa.binary())], ["doc_id", "chunks"])
-
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = docs.sparkSession.createDataFrame([(k,) for k in label], f"doc_id {kind}")
-    texts = bounded_batches(docs).select("doc_id", whole_text().cast("binary").alias("text")).join(F.broadcast(ids), "doc_id")  # at most ``rows`` ids
-    found = {}
-    for k, x in texts.mapInArrow(pick, f"doc_id {kind}, chunks binary").collect():
-        found[k] = min(found.get(k, x), x)  # repeated ids: one text, the same each time
+
+    def texts_of(ids: list) -> DataFrame:
+        wanted = docs.sparkSession.createDataFrame([(k,) for k in ids], f"doc_id {kind}")
+        return bounded_batches(docs).select("doc_id", whole_text().cast("binary").alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # at most ``rows`` ids; repeated ids: one text, the same each time
+
+    size = dict(texts_of(list(label)).select("doc_id", F.length("text")).collect())
+    ids, total = [], 0
+    for k in label:
+        total += size.get(k, 0)
+        if total > most and ids:
+            break
+        if k in size:
+            ids.append(k)
+    found = {r["doc_id"]: bytes(r["text"]) for r in texts_of(ids).collect()} if ids else {}
     keys = sorted(found)
     if not keys:
         return None
-    parts = [np.frombuffer(found[k], np.uint8).reshape(-1, CHUNK + 1, BLOCK) for k in keys]
+    parts = [all_chunks(found[k]) for k in keys]
     return train(np.concatenate(parts), np.repeat(np.arange(len(keys)), [len(x) for x in parts]), np.array([label[k] for k in keys], np.float64))
 
 
