@@ -210,3 +210,19 @@ def test_table_stars_are_one_scan(spark, tmp_path):
         assert rows(GraphStore(graph).sparql(text)) == rows(flat.sparql(text)), body
     plan = GraphStore(graph).sparql(prefix + "SELECT * { ?s c:c_name ?n ; c:c_acctbal ?b ; c:c_nationkey ?k }")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_hops_from_all_vertices_against_brute_force(spark, monkeypatch):
+    from triloom import queries
+
+    graph = [("<a>", "<p>", "<b>"), ("<b>", "<p>", "<c>"), ("<c>", "<q>", '"x"'), ("<d>", "<q>", "<c>"), ("<e>", "<p>", "<e>"), ("<f>", "<p>", '"x"'), ("<d>", "<p>", "<g>")]
+    monkeypatch.setattr(queries, "_graph", lambda s, d: s.createDataFrame(graph, "s string, p string, o string"))
+    parts = {tuple(r) for r in queries._parts(spark, "").collect()}
+    assert {v for v, _ in parts} == {s for s, _, _ in graph}
+    for hops in (1, 2):
+        known, want = set(parts), set()
+        for _ in range(hops):
+            found = {(s, p, o, k) for s, p, o in graph for v, k in known if v in (s, o)}
+            want |= found
+            known |= {(v, k) for s, _, o, k in found for v in (s, o)}
+        assert rows(queries.queries()[f"nhop_{hops}_all"](spark, "")) == sorted(want)
