@@ -134,7 +134,8 @@ def corpus_runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
         for part in parts:
             x = _told(runs([t.as_buffer().to_pybytes() for t in part.column(1)], part.column(0).to_numpy(), length))
             # rows that are only passed on may go anywhere
-            where = bucket_of(np.where(x["how"] == _WHOLE, mix64(x["k"].view(np.uint64)) if len(x) else x["key"], x["key"]), buckets)
+            # triggers are least hashes, so their high bits are alike: mixed first
+            where = bucket_of(mix64(np.where(x["how"] == _WHOLE, x["k"].view(np.uint64) if len(x) else x["key"], x["key"])), buckets)
             order = np.argsort(where, kind="stable")
             x, where = x[order], where[order]
             cut = np.flatnonzero(np.diff(where, prepend=-1))
