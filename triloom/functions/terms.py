@@ -53,6 +53,11 @@ def numeric(term: Column) -> Column:
     return F.when(datatype(term).isin(_NUMERIC), lexical(term).try_cast("double"))
 
 
+def integer(term: Column) -> Column:
+    """The value of an integer literal, to 38 digits; null for any other term."""
+    return F.when(datatype(term).isin([t for t in _NUMERIC if t.rsplit("#")[1] not in ("decimal", "double", "float")]), lexical(term).try_cast("decimal(38,0)"))
+
+
 def is_literal(term: Column) -> Column:
     return term.startswith('"')
 

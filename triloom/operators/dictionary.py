@@ -9,10 +9,13 @@ one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import RDF_TYPE, digest, kind
+from .layout import star_rows
 from .shared import materialize
 
 #: Reserved predicate ids: rdf:type is 2, others begin with 10.
@@ -33,26 +36,31 @@ def unique_terms(triples: DataFrame) -> DataFrame:
 
 def dense_ids(df: DataFrame, order: list[str], name: str, start: int = 1, step: int = 1) -> DataFrame:
     """df with consecutive ids in the given order: range partitions, each offset by the sizes of those before it."""
-    ranged = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part").count()  # one row a partition
-    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    out = ranged.join(F.broadcast(before), "_part").withColumn(name, (F.lit(start) + (F.col("_before") + place - 1) * step).cast("long"))
-    return out.drop("_part", "_before")
+    return _numbered(df, [], order, name, F.lit(start), F.lit(step))
+
+
+def _numbered(df: DataFrame, sequence: list[str], order: list[str], name: str, start: Column, step: Column) -> DataFrame:
+    """df with the ids of each sequence in the given order, by one range shuffle for all of them. A task writes one sorted
+    file, in which a row's place is known without another shuffle."""
+    ranged = df.repartitionByRange(*sequence, *order).sortWithinPartitions(*sequence, *order).withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged, maxRecordsPerFile=0).withColumn("_row", F.col("_metadata.row_index"))
+    sizes = ranged.groupBy("_part", *sequence).agg(F.count("*").alias("count"), F.min("_row").alias("first"))  # a row for each part and sequence
+    before = sizes.select("_part", *sequence, (F.sum("count").over(Window.partitionBy(*sequence).orderBy("_part")) - F.col("count") - F.col("first")).alias("_before"))
+    out = ranged.join(F.broadcast(before), ["_part", *sequence]).withColumn(name, (start + (F.col("_before") + F.col("_row")) * step).cast("long"))
+    return out.select(*df.columns, name)
 
 
 def build_dictionary(triples: DataFrame, reserved: bool = True) -> DataFrame:
     """term, role, flag, digest, kind, id."""
-    terms = materialize(unique_terms(triples))
-    vertices = dense_ids(terms.where("role = 'vertex' AND flag = 1"), ["digest"], "id")
-    classes = dense_ids(terms.where("role = 'vertex' AND flag = -1"), ["digest"], "id", -1, -1)
-    predicates = terms.where("role = 'predicate'")
-    if reserved:
-        types = predicates.where(F.col("term") == RDF_TYPE).withColumn("id", F.lit(TYPE_ID).cast("long"))
-        predicates = dense_ids(predicates.where(F.col("term") != RDF_TYPE), ["digest"], "id", FIRST_PREDICATE).unionByName(types)
-    else:
-        predicates = dense_ids(predicates, ["digest"], "id")
-    return vertices.unionByName(classes).unionByName(predicates)
+    terms = unique_terms(triples)
+    first = FIRST_PREDICATE if reserved else 1
+    kept = (F.col("role") == "predicate") & (F.col("term") == RDF_TYPE) & F.lit(reserved)
+    # 0: vertices, 1: classes, 2: predicates, 3: reserved ids
+    sequence = F.when(kept, 3).when(F.col("role") == "predicate", 2).when(F.col("flag") == 1, 0).otherwise(1)
+    of = F.col("_sequence")
+    start = F.when(of == 3, TYPE_ID).when(of == 2, first).when(of == 0, 1).otherwise(-1)
+    out = _numbered(terms.withColumn("_sequence", sequence), ["_sequence"], ["digest"], "id", start, F.when(of == 1, -1).otherwise(1))
+    return out.drop("_sequence")
 
 
 def shared_ids(triples: DataFrame) -> DataFrame:
@@ -83,6 +91,11 @@ def decode(encoded: DataFrame, dictionary: DataFrame) -> DataFrame:
     return out.select(F.col("_s").alias("s"), F.col("_p").alias("p"), F.col("_o").alias("o"))
 
 
+def encode_stars(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Star rows (s, predobj) of ids, straight from triples of terms."""
+    return star_rows(encode(triples, dictionary))
+
+
 def missing_terms(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
     """term, role of what triples use and the dictionary lacks."""
     used = extract_terms(triples).select("term", "role").distinct()
@@ -90,9 +103,21 @@ def missing_terms(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def look_up(dictionary: DataFrame, terms: list[str]) -> dict[str, int]:
-    """Ids of a query's constants (few, by their digests); absent ones are left out."""
-    wanted = dictionary.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
-    return {r["term"]: r["id"] for r in dictionary.join(F.broadcast(wanted), "term").select("term", "id").collect()}
+    """Ids of a query's constants (few), in one job; absent ones are left out.
+
+    The dictionary's files are ranges of digests, so the filter on digests skips all files and row groups but a few.
+    """
+    wanted = list(dict.fromkeys(terms))
+    if not wanted:
+        return {}
+    digests = [hashlib.sha1(t.encode()).hexdigest() for t in wanted]
+    return {r["term"]: r["id"] for r in dictionary.where(F.col("digest").isin(digests) & F.col("term").isin(wanted)).select("term", "id").collect()}
+
+
+def copy_dictionary(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """A stored dictionary written to another store, ids as they are and files again as ranges of digests; the copy."""
+    spark.read.parquet(source).repartitionByRange("digest").sortWithinPartitions("digest").write.parquet(target)
+    return spark.read.parquet(target)
 
 
 def class_only_terms(dictionary: DataFrame) -> DataFrame:

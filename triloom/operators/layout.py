@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,24 +16,27 @@ def from_star(stars: DataFrame) -> DataFrame:
     return stars.select("s", F.explode("predobj").alias("x")).select("s", "x.p", "x.o")
 
 
+#: Triples of a file of the layout by predicate.
+PIECE = 1 << 20
+
+
 def write_by_predicate(triples: DataFrame, path: str, predicates: DataFrame) -> None:
-    """One folder for each predicate's number (p, pid); within one, rows in the order of s, for min-max pruning.
+    """One folder for each predicate's number (p, pid, triples); within a file, rows in the order of s, for min-max pruning.
 
-    Rows are dealt by predicate and a hash of the subject, so that a predicate with a third of all triples is many files.
+    Rows are dealt by predicate and a hash of the subject, in as many pieces as the predicate's size asks for.
     """
     spread = int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = triples.join(predicates, "p")
-    df = df.repartition(spread, "pid", F.pmod(F.xxhash64("s"), F.lit(16))).sortWithinPartitions("pid", "s")
+    df = triples.join(predicates.select("p", "pid", F.ceil(F.col("triples") / PIECE).alias("_pieces")), "p")
+    df = df.repartition(spread, "pid", F.pmod(F.xxhash64("s"), F.greatest("_pieces", F.lit(1)))).sortWithinPartitions("pid", "s")
     df.select("s", "o", "pid").write.partitionBy("pid").parquet(path)
 
 
 def number_predicates(triples: DataFrame) -> DataFrame:
-    """p, pid: a stable number for each predicate (31 bits of its digest's hash are enough for folders; ties get ranks)."""
-    from pyspark.sql import Window
-
-    p = triples.select("p").distinct().withColumn("_h", F.shiftrightunsigned(F.xxhash64("p"), 34))
+    """p, triples, pid: how many triples each predicate has, and a stable number (31 bits of a hash are enough for folders;
+    ties get ranks)."""
+    p = triples.groupBy("p").agg(F.count("*").alias("triples")).withColumn("_h", F.shiftrightunsigned(F.xxhash64("p"), 34))
     tie = F.row_number().over(Window.partitionBy("_h").orderBy("p")) - 1
-    return p.select("p", (F.col("_h") * 8 + tie).alias("pid"))
+    return p.select("p", "triples", (F.col("_h") * 8 + tie).alias("pid"))
 
 
 def write_partitioned_stars(triples: DataFrame, vertex_parts: DataFrame, path: str) -> None:

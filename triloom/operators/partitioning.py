@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import RDF_TYPE, is_literal
+from ..functions.terms import RDF_TYPE
 from .shared import materialize
 
 
@@ -17,7 +17,8 @@ def split_typed(triples: DataFrame, type_term=RDF_TYPE) -> tuple[DataFrame, Data
 def adjacency(triples: DataFrame, distinct: bool = False) -> DataFrame:
     """v, neighbours in both directions; with distinct each neighbour once."""
     both = triples.select(F.explode(F.array(F.struct(F.col("s").alias("v"), F.col("o").alias("w")), F.struct(F.col("o").alias("v"), F.col("s").alias("w")))).alias("x")).select("x.*")
-    return (both.distinct() if distinct else both).groupBy("v").agg(F.collect_list("w").alias("neighbours"))
+    collect = F.collect_set if distinct else F.collect_list  # one shuffle either way
+    return both.groupBy("v").agg(collect("w").alias("neighbours"))
 
 
 def out_adjacency(triples: DataFrame, low=None, high=None, type_term=RDF_TYPE) -> DataFrame:
@@ -119,7 +120,7 @@ def expand_hops(triples: DataFrame, vertex_parts: DataFrame, hops: int) -> DataF
 
     Each hop's new edges come from the last hop's new vertices only; it is written to the shared folder.
     """
-    edges = triples.select("s", "p", "o")
+    edges = materialize(triples.select("s", "p", "o"))
     known = vertex_parts.select("v", "part").distinct()
     frontier, found = known, None
     for _ in range(hops):
@@ -157,12 +158,3 @@ def place_high_degree(triples: DataFrame, high: DataFrame, vertex_parts: DataFra
     near = triples.select(F.explode(F.array(F.struct(F.col("s").alias("v"), F.col("o").alias("w")), F.struct(F.col("o").alias("v"), F.col("s").alias("w")))).alias("x")).select("x.*").join(high, "v", "left_semi")
     counts = near.join(vertex_parts.select(F.col("v").alias("w"), "part"), "w").groupBy("v", "part").agg(F.count("*").alias("n"))
     return counts.groupBy("v").agg(F.max(F.struct("n", (-F.col("part")).alias("m"))).alias("x")).select("v", (-F.col("x.m")).cast("int").alias("part"))
-
-
-def with_literal_flag(triples: DataFrame) -> DataFrame:
-    return triples.withColumn("is_literal", is_literal(F.col("o")))
-
-
-def one_row_per_vertex(vertex_parts: DataFrame) -> DataFrame:
-    """The smallest partition of each vertex, where an assignment names several."""
-    return vertex_parts.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("part"))).where("_r = 1").drop("_r")

@@ -5,16 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df below spark.checkpoint.dir (a temporary folder only where the session names none) and read it back."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir. Where the session names none, a temporary one, but in local
+    mode only: on a cluster other executors would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="triloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder.rstrip('/')}/{spark.conf.get('spark.app.id', 'triloom')}"
+
+
+def materialize(df: DataFrame, **options) -> DataFrame:
+    """Write df below the shared folder and read it back."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this application's operators have written to the shared folder; results that read it are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -23,11 +23,13 @@ def _column(name: str) -> str:
 
 
 def pattern_bindings(graph, p: Pattern) -> DataFrame:
-    """One column for each variable of a pattern, one row for each triple that matches.
+    """One column for each variable of a pattern, one row for each triple that matches; and the columns that the graph
+    carries along (as partitions do with their number).
 
     Without variables: one row if the triple exists, else none (a graph is a set of triples).
     """
     const = {k: None if isinstance(t, Var) else t for k, t in (("s", p.s), ("p", p.p), ("o", p.o))}
+    carried = getattr(graph, "carried", [])
     df = graph.scan(**const)
     for k, t in const.items():
         if t is not None:
@@ -39,9 +41,9 @@ def pattern_bindings(graph, p: Pattern) -> DataFrame:
                 df = df.where(F.col(k) == F.col(seen[t.name]))
             else:
                 seen[t.name] = k
-    if not seen:
+    if not seen and not carried:
         return df.select(F.lit(True).alias("_exists")).limit(1)
-    return df.select(*[F.col(k).alias(_column(v)) for v, k in seen.items()])
+    return df.select(*[F.col(k).alias(_column(v)) for v, k in seen.items()], *carried)
 
 
 def join(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -66,31 +68,86 @@ def component_bindings(graph, patterns: list[Pattern]) -> DataFrame:
     return reduce(join, parts)
 
 
+def _asked(query: Query) -> set[str]:
+    """The variables that the result or a filter needs."""
+    return set(query.select) | {v for f in query.filters for v in f.variables()}
+
+
+def _names(patterns: list[Pattern]) -> set[str]:
+    return {v for p in patterns for v in p.variables()}
+
+
+def _prepare(graph, query: Query) -> None:
+    """Let an encoded graph look up all constants at once."""
+    if graph.encoded:
+        graph.prepare(list(dict.fromkeys(t for p in query.patterns for t in (p.s, p.p, p.o) if isinstance(t, str))))
+
+
 def bindings(graph, query: Query) -> DataFrame:
-    """All variables of the query, before filters. A component whose variables nobody asks for only multiplies."""
-    parts = [component_bindings(graph, c) for c in components(query.patterns)]
-    if not parts:
+    """The variables of the query that are asked for, before filters.
+
+    A component none of whose variables are asked for only says how often rows repeat: it is counted, or with DISTINCT
+    tested for a first row, and never multiplied out.
+    """
+    parts, others = [], []
+    for c in components(query.patterns):
+        (parts if _names(c) & _asked(query) else others).append(component_bindings(graph, c))
+    if not parts and not others:
         raise QueryError("no pattern")
-    return reduce(join, parts)
+    out = reduce(join, parts) if parts else None
+    for df in others:
+        times = df.limit(1).select(F.lit(1).cast("long").alias("_times")) if query.distinct else df.agg(F.count("*").alias("_times")).where("_times > 0")
+        if out is None:
+            out = times.select(F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(F.lit(True).alias("_exists"))
+        elif query.distinct:
+            out = out.crossJoin(F.broadcast(times)).drop("_times")  # one row or none
+        else:
+            out = out.crossJoin(F.broadcast(times)).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("_time")).drop("_time", "_times")
+    return out
 
 
-def compile_query(graph, query: Query) -> DataFrame:
-    """The result: one string column for each selected variable, in order; null where the pattern doesn't bind it."""
+def count_query(graph, query: Query) -> DataFrame:
+    """bindings: how many rows the query has. Components that no filter ties together are counted apart."""
+    if query.distinct:
+        return compile_query(graph, query).agg(F.count("*").alias("bindings"))
+    _prepare(graph, query)
+    groups: list[tuple[list[Pattern], list[Expr]]] = [(c, []) for c in components(query.patterns)]
+    loose = []
+    for f in query.filters:
+        tied = [g for g in groups if _names(g[0]) & f.variables()]
+        if not tied:
+            loose.append(f)
+            continue
+        one = ([p for g in tied for p in g[0]], [f, *(x for g in tied for x in g[1])])
+        groups = [g for g in groups if g not in tied] + [one]
+    out = None
+    for i, (patterns, filters) in enumerate(groups):
+        own = Query(sorted(_names(patterns)), patterns, filters + (loose if not i else []))
+        n = compile_query(graph, own, decoded=False).agg(F.count("*").alias(f"n{i}"))
+        out = n if out is None else out.crossJoin(n)  # one row each
+    return out.select(reduce(lambda a, b: a * b, [F.col(f"n{i}") for i in range(len(groups))]).alias("bindings"))
+
+
+def compile_query(graph, query: Query, decoded: bool = True) -> DataFrame:
+    """The result: one string column for each selected variable, in order; null where the pattern doesn't bind it.
+    Without decoded, an encoded graph's columns stay ids where no filter needs the term."""
+    _prepare(graph, query)
     df = bindings(graph, query)
-    needed = set(query.select) | {v for f in query.filters for v in f.variables()}
+    needed = _asked(query)
+    shown: set[str] = set()
     if graph.encoded:
         for v in sorted({v for f in query.filters for v in f.variables()}):
             if _column(v) in df.columns:
                 df = graph.decode(df, _column(v))
-        decoded = {_column(v) for f in query.filters for v in f.variables()}
+        shown = {_column(v) for f in query.filters for v in f.variables()}
     for f in query.filters:
         df = df.where(condition(f, df.columns))
     df = df.select(*[c for c in dict.fromkeys(_column(v) for v in sorted(needed)) if c in df.columns], *([] if any(_column(v) in df.columns for v in needed) else [F.lit(True).alias("_exists")]))
-    if graph.encoded:
+    if graph.encoded and decoded:
         if query.distinct:  # ids tell terms apart as well, and are smaller
             df = df.select(*[c for c in (_column(v) for v in dict.fromkeys(query.select)) if c in df.columns]).distinct() if any(_column(v) in df.columns for v in query.select) else df
         for c in dict.fromkeys(_column(v) for v in query.select):
-            if c in df.columns and c not in decoded:
+            if c in df.columns and c not in shown:
                 df = graph.decode(df, c)
     df = df.select(*[(F.col(_column(v)) if _column(v) in df.columns else F.lit(None).cast("string")).alias(v) for v in dict.fromkeys(query.select)])
     return df.distinct() if query.distinct else df
@@ -173,8 +230,10 @@ def _compare(op: str, a, b, columns: list[str]) -> Column:
     if any(isinstance(z, Expr) and z.op in "+-*/" for z in (a, b)):
         return apply(x, y)
     s, t = _term(a, columns), _term(b, columns)
+    whole = terms.integer(s).isNotNull() & terms.integer(t).isNotNull()
+    exact = apply(terms.integer(s), terms.integer(t))  # doubles would take integers beyond 2^53 for equal
     numbers = x.isNotNull() & y.isNotNull()
     if op in ("=", "!="):
-        return F.when(numbers, apply(x, y)).otherwise(apply(s, t))
+        return F.when(whole, exact).when(numbers, apply(x, y)).otherwise(apply(s, t))
     alike = terms.datatype(s).eqNullSafe(terms.datatype(t)) & terms.is_literal(s) & terms.datatype(s).isin(terms.XSD + "string", terms.XSD + "dateTime", terms.XSD + "date")
-    return F.when(numbers, apply(x, y)).when(alike, apply(terms.lexical(s), terms.lexical(t)))
+    return F.when(whole, exact).when(numbers, apply(x, y)).when(alike, apply(terms.lexical(s), terms.lexical(t)))

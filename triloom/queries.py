@@ -11,21 +11,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import stored_queries
 from .functions.terms import RDF_TYPE, XSD
 from .operators import dictionary, layout, partitioning, statistics
 from .operators.shared import materialize
-from .plans import query_graph
-from .plans.compiler import compile_query
+from .plans.distributed import partitioned_answer
 from .plans.sparql import Query, Var, parse
 from .sources import ntriples
 from .sources.generator import synthetic_triples
 from .sources.sample import NTRIPLES, PROLOGUE, QUERIES
 from .sources.tables import BASE, GRAPH, TableGraph, mapping_sql
-from .store import FlatGraph, GraphStore
+from .store import GraphStore
 
 PREFIXES = "".join(f"PREFIX {t}: <{BASE}/{t}#> " for t in GRAPH) + f"PREFIX class: <{BASE}/class/> PREFIX xsd: <{XSD}> "
 _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+_TEXTS: dict[str, str] = {}
 
 
 def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
@@ -61,6 +62,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sparql(name: str, text: str, sql: str | None = None) -> None:
     """A query over the tables' graph; without sql it is held against self-joins of all triples."""
+    _TEXTS[name] = text
     _add(name, lambda spark, sf_dir: GraphStore.from_tables(spark, sf_dir).sparql(PREFIXES + text), sql or _ALL + query_sql(parse(PREFIXES + text), "t"))
 
 
@@ -83,11 +85,11 @@ _sparql("pat_cvv", f"SELECT ?p ?o {{ <{BASE}/customer/7> ?p ?o }}")
 _sparql("pat_ccv", f"SELECT ?o {{ <{BASE}/customer/7> customer:c_nationkey ?o }}", f"SELECT {_iri('nation', 'c_nationkey')} AS o FROM customer WHERE c_custkey = 7")
 _sparql("pat_cvc", f"SELECT ?p {{ <{BASE}/customer/7> ?p class:customer }}")
 _sparql("pat_ccc", f"SELECT ?n {{ <{BASE}/customer/7> a class:customer . <{BASE}/nation/3> nation:n_name ?n }}", f"SELECT {_lit('n_name')} AS n FROM nation WHERE n_nationkey = 3 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = 7)")
-_sparql("pat_repeated_var", "SELECT ?x ?p { ?x ?p ?x }")
 _sparql("pat_unknown_const", 'SELECT ?s ?n { ?s customer:c_mktsegment "NO SUCH"^^xsd:string ; customer:c_nationkey ?n }')
 _sparql("star_2", 'SELECT ?c ?n { ?c customer:c_mktsegment "BUILDING"^^xsd:string ; customer:c_nationkey ?n }', f"SELECT {_iri('customer', 'c_custkey')} AS c, {_iri('nation', 'c_nationkey')} AS n FROM customer WHERE c_mktsegment = 'BUILDING'")
 _sparql("star_5", "SELECT ?c ?name ?n ?b ?m { ?c a class:customer ; customer:c_name ?name ; customer:c_nationkey ?n ; customer:c_acctbal ?b ; customer:c_mktsegment ?m }", f"SELECT {_iri('customer', 'c_custkey')} AS c, {_lit('c_name')} AS name, {_iri('nation', 'c_nationkey')} AS n, {_lit('c_acctbal', 'double')} AS b, {_lit('c_mktsegment')} AS m FROM customer")
-_sparql("star_varpred", 'SELECT ?c ?p ?v { ?c customer:c_mktsegment "MACHINERY"^^xsd:string . ?c ?p ?v }')
+_VARPRED = f"WITH t AS ({mapping_sql(('customer',))}) SELECT s AS c, p, o AS v FROM t WHERE s IN (SELECT {_iri('customer', 'c_custkey')} FROM customer WHERE c_mktsegment = 'MACHINERY')"
+_sparql("star_varpred", 'SELECT ?c ?p ?v { ?c customer:c_mktsegment "MACHINERY"^^xsd:string . ?c ?p ?v }', _VARPRED)
 _sparql("pipe_2", "SELECT ?o ?c ?n { ?o orders:o_custkey ?c . ?c customer:c_nationkey ?n }", f"SELECT {_iri('orders', 'o_orderkey')} AS o, {_iri('customer', 'o_custkey')} AS c, {_iri('nation', 'c_nationkey')} AS n FROM orders JOIN customer ON o_custkey = c_custkey")
 _sparql("pipe_4", "SELECT ?o ?r { ?o orders:o_custkey ?c . ?c customer:c_nationkey ?n . ?n nation:n_regionkey ?k . ?k region:r_name ?r }", f"SELECT {_iri('orders', 'o_orderkey')} AS o, {_lit('r_name')} AS r FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 _sparql("oo_join", "SELECT ?c ?s { ?c customer:c_nationkey ?n . ?s supplier:s_nationkey ?n }", f"SELECT {_iri('customer', 'c_custkey')} AS c, {_iri('supplier', 's_suppkey')} AS s FROM customer JOIN supplier ON c_nationkey = s_nationkey")
@@ -117,14 +119,20 @@ def _orders_graph(spark: SparkSession, sf_dir: str) -> GraphStore:
     def term(table: str, column: str):
         return F.concat(F.lit(f"<{BASE}/{table}/"), F.col(column).cast("string"), F.lit(">"))
 
-    def edge(s, name: str, o):
-        return F.struct(s.alias("s"), F.lit(f"<{BASE}/{name}>").alias("p"), o.alias("o"))
-
     o, p, s = term("orders", "l_orderkey"), term("part", "l_partkey"), term("supplier", "l_suppkey")
-    edges = F.array(edge(o, "has_part", p), edge(o, "has_supplier", s), edge(s, "supplies", p))
-    return GraphStore.from_triples(lines.select(F.explode(edges).alias("x")).select("x.*"))
+    # a union rather than exploded rows: a pattern's predicate then leaves one branch of it to read
+    edges = [lines.select(a.alias("s"), F.lit(f"<{BASE}/{name}>").alias("p"), b.alias("o")) for a, name, b in ((o, "has_part", p), (o, "has_supplier", s), (s, "supplies", p))]
+    return GraphStore.from_triples(edges[0].union(edges[1]).union(edges[2]))
+
+
+def _supplied(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """Suppliers and parts as nodes of one kind, so that some supply themselves."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    s, o = (F.concat(F.lit(f"<{BASE}/node/"), F.col(c).cast("string"), F.lit(">")) for c in ("l_suppkey", "l_partkey"))
+    return GraphStore.from_triples(lines.select(s.alias("s"), F.lit(f"<{BASE}/supplies>").alias("p"), o.alias("o")))
 
 
+_add("pat_repeated_var", lambda spark, d: _supplied(spark, d).sparql("SELECT ?x ?p { ?x ?p ?x }"), f"SELECT DISTINCT {_iri('node', 'l_suppkey')} AS x, '<{BASE}/supplies>' AS p FROM lineitem WHERE l_suppkey = l_partkey")
 _LINES = "WITH op AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), os AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), sp AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) "
 _MULTI = f"SELECT ?o ?p ?s {{ ?o <{BASE}/has_part> ?p . ?o <{BASE}/has_supplier> ?s "
 _add("star_multivalue", lambda spark, d: _orders_graph(spark, d).sparql(_MULTI + "}"), _LINES + f"SELECT {_iri('orders', 'op.l_orderkey')} AS o, {_iri('part', 'l_partkey')} AS p, {_iri('supplier', 'l_suppkey')} AS s FROM op JOIN os ON op.l_orderkey = os.l_orderkey")
@@ -169,7 +177,7 @@ _add("decode_roundtrip", lambda spark, d: dictionary.decode(*_encoded(spark, d))
 _add("missing_terms", lambda spark, d: dictionary.missing_terms(_graph(spark, d), dictionary.unique_terms(TableGraph(spark, d, ("region", "nation", "customer")).triples())), _ALL + f", k AS ({mapping_sql(('region', 'nation', 'customer'))}), a AS (SELECT s AS term, 'vertex' AS role FROM t UNION SELECT p, 'predicate' FROM t UNION SELECT o, 'vertex' FROM t), b AS (SELECT s AS term, 'vertex' AS role FROM k UNION SELECT p, 'predicate' FROM k UNION SELECT o, 'vertex' FROM k) SELECT * FROM a EXCEPT SELECT * FROM b")
 _add("class_only_terms", lambda spark, d: dictionary.class_only_terms(dictionary.unique_terms(_graph(spark, d))), _TERMS + "SELECT count(*) AS class_terms FROM terms WHERE role = 'vertex' AND flag = -1")
 _add("ntriples_roundtrip", lambda spark, d: ntriples.parse_lines(ntriples.to_lines(_graph(spark, d)))[0], _ALL + "SELECT s, p, o FROM t")
-_add("synthetic", lambda spark, d: synthetic_triples(spark, 10_000).groupBy(F.col("s").startswith("<http://synthetic.local/star").alias("star")).agg(F.count("*").alias("triples")), "SELECT true AS star, 2000::BIGINT AS triples UNION ALL SELECT false, 8000")
+_add("synthetic", lambda spark, d: synthetic_triples(spark, 10_000).groupBy(F.col("s").startswith("<http://synthetic.local/star").alias("star")).agg(F.count("*").alias("triples"), F.count_distinct(F.when(F.col("s").startswith("<http://synthetic.local/star"), F.col("s"))).alias("stars"), (F.count_distinct("p") <= 500).alias("few_predicates")), "SELECT true AS star, 2000::BIGINT AS triples, 200::BIGINT AS stars, true AS few_predicates UNION ALL SELECT false, 8000, 0, true")
 
 # --- layouts and statistics ---------------------------------------------------------------------------
 
@@ -202,11 +210,7 @@ _add("out_adjacency", lambda spark, d: _listed(partitioning.out_adjacency(_graph
 _add("edge_count", lambda spark, d: statistics.edge_count(partitioning.adjacency(_untyped(spark, d))), _UNTYPED + "SELECT count(*) AS edges FROM u")
 
 
-def _order_ids(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 3").select(F.col("o_orderkey").alias("id"))
-
-
-_add("id_gaps", lambda spark, d: statistics.id_gaps(_order_ids(spark, d)), "SELECT * FROM (SELECT o_orderkey AS after, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS before FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 3) WHERE before > after + 1")
+_add("id_gaps", lambda spark, d: statistics.id_gaps(spark.read.parquet(f"{d}/lineitem.parquet"), "l_orderkey"), "SELECT * FROM (SELECT k AS after, lead(k) OVER (ORDER BY k) AS before FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem)) WHERE before > after + 1")
 
 
 def _customer_links(spark: SparkSession, d: str) -> DataFrame:
@@ -232,37 +236,17 @@ _add("part_assign", lambda spark, d: partitioning.vertices_by_part(_parts(spark,
 _add("part_triples", lambda spark, d: partitioning.part_triples(_graph(spark, d), _parts(spark, d)), _PARTS + "SELECT s, p, o, part FROM t JOIN vp ON s = v")
 _add("triples_of_vertices", lambda spark, d: partitioning.triples_of_vertices(_graph(spark, d), _parts(spark, d).where("part = 1")), _PARTS + "SELECT s, p, o FROM t WHERE s IN (SELECT v FROM vp WHERE part = 1)")
 
-def _seeds(spark: SparkSession, d: str) -> DataFrame:
-    return _parts(spark, d).where(f"v = '<{BASE}/region/1>' OR v LIKE '<{BASE}/supplier/1%'")
-
-
-_HOP = _PARTS + f""", f0 AS (SELECT v, part FROM vp WHERE v = '<{BASE}/region/1>' OR v LIKE '<{BASE}/supplier/1%'),
-e1 AS (SELECT DISTINCT s, p, o, part FROM t JOIN f0 ON v IN (s, o)), f1 AS (SELECT s AS v, part FROM e1 UNION SELECT o, part FROM e1),
-e2 AS (SELECT DISTINCT t.s, t.p, t.o, part FROM t JOIN f1 ON v = t.s UNION SELECT t.s, t.p, t.o, part FROM t JOIN f1 ON v = t.o) """
-_add("nhop_1", lambda spark, d: partitioning.expand_hops(_graph(spark, d), _seeds(spark, d), 1), _HOP.replace("JOIN f0 ON v IN (s, o)", "JOIN f0 ON v = s UNION SELECT s, p, o, part FROM t JOIN f0 ON v = o") + "SELECT * FROM e1")
-_add("nhop_2", lambda spark, d: partitioning.expand_hops(_graph(spark, d), _seeds(spark, d), 2), _HOP.replace("JOIN f0 ON v IN (s, o)", "JOIN f0 ON v = s UNION SELECT s, p, o, part FROM t JOIN f0 ON v = o") + "SELECT * FROM e2")
-# the hops from all vertices; SQL over whole tables would be too slow, the tests hold the expansion against brute force
-_add("nhop_1_all", lambda spark, d: partitioning.expand_hops(_graph(spark, d), _parts(spark, d), 1))
-_add("nhop_2_all", lambda spark, d: partitioning.expand_hops(_graph(spark, d), _parts(spark, d), 2))
-
-
-def partitioned_answer(replicas: DataFrame, vertex_parts: DataFrame, q: Query, core: str) -> DataFrame:
-    """Answers of n-hop partitions put together: each match counts where the vertex of its core variable lives."""
-    whole = None
-    names = list(dict.fromkeys([*q.select, core]))
-    for part in sorted(r["part"] for r in vertex_parts.select("part").distinct().collect()):
-        own = FlatGraph(replicas.where(F.col("part") == part))
-        found = compile_query(own, Query(names, q.patterns, q.filters)).withColumn("part", F.lit(part))
-        whole = found if whole is None else whole.union(found)
-    owned = whole.join(vertex_parts.select(F.col("v").alias(core), "part"), [core, "part"], "left_semi")
-    return owned.select(*q.select)
+_HOP = _PARTS + """, e1 AS (SELECT s, p, o, part FROM t JOIN vp ON v = s UNION SELECT s, p, o, part FROM t JOIN vp ON v = o), f1 AS (SELECT s AS v, part FROM e1 UNION SELECT o, part FROM e1),
+e2 AS (SELECT t.s, t.p, t.o, part FROM t JOIN f1 ON v = t.s UNION SELECT t.s, t.p, t.o, part FROM t JOIN f1 ON v = t.o) """
+_add("nhop_1", lambda spark, d: partitioning.expand_hops(_graph(spark, d), _parts(spark, d), 1), _HOP + "SELECT * FROM e1")
+_add("nhop_2", lambda spark, d: partitioning.expand_hops(_graph(spark, d), _parts(spark, d), 2), _HOP + "SELECT * FROM e2")
 
 
 def _partitioned(spark: SparkSession, d: str) -> DataFrame:
     q = parse(PREFIXES + "SELECT ?c ?name ?r { ?c customer:c_nationkey ?n . ?n nation:n_name ?name . ?n nation:n_regionkey ?r }")
     triples = TableGraph(spark, d, ("region", "nation", "customer")).triples()
-    parts = materialize(_parts(spark, d))
-    return partitioned_answer(partitioning.expand_hops(triples, parts, 1), parts, q, "n")
+    parts = materialize(partitioning.assign_by_hash(triples.select(F.explode(F.array("s", "o")).alias("v")), 4))
+    return partitioned_answer(partitioning.expand_hops(triples, parts, 1), parts, q, 1)
 
 
 _add("nhop_answer_equals_global", _partitioned, f"SELECT {_iri('customer', 'c_custkey')} AS c, {_lit('n_name')} AS name, {_iri('region', 'n_regionkey')} AS r FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -278,23 +262,19 @@ _SPLIT = _DEGREE + ", hl AS (SELECT s, p, o, greatest(coalesce(a.degree, 0), coa
 _add("high_low_split", _high_low, _SPLIT + "SELECT s, p, o, CASE WHEN d >= 30 THEN 'high' ELSE 'low' END AS level FROM hl WHERE d > 0")
 _add("high_vertices", lambda spark, d: partitioning.high_degree_subjects(_high_low(spark, d)), _SPLIT + "SELECT DISTINCT s AS v FROM hl WHERE d >= 30")
 _add("hd_placement", lambda spark, d: partitioning.place_high_degree(_graph(spark, d), statistics.vertex_degrees(_graph(spark, d)).where("degree >= 30").select("v"), _parts(spark, d)), _DEGREE + f", vp AS (SELECT v, {_PART} AS part FROM (SELECT DISTINCT s AS v FROM t)), near AS (SELECT s AS v, o AS w FROM t UNION ALL SELECT o, s FROM t), c AS (SELECT near.v, vp.part, count(*) AS n FROM near JOIN vp ON near.w = vp.v WHERE near.v IN (SELECT v FROM deg WHERE degree >= 30) GROUP BY 1, 2) SELECT v, part FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY n DESC, part) AS r FROM c) WHERE r = 1")
-_add("part_propagate", lambda spark, d: partitioning.vertices_by_part(partitioning.assign_by_neighbours(partitioning.adjacency(_untyped(spark, d), True), 4, 2)))
-
-# --- planning -----------------------------------------------------------------------------------------
-
-
-def _plans(rows: Callable[[str, Query], list[tuple]], schema: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: spark.createDataFrame([r for name, (text, _, _) in QUERIES.items() for r in rows(name, parse(PROLOGUE + text))], schema)
-
-
-def _where(name: str, q: Query) -> list[tuple]:
-    x = query_graph.locality(q.patterns)
-    return [(name, x.radius, x.answerable(2))]
-
 
-_add("plan_pwoc", _plans(_where, "query string, radius int, local boolean"))
-_add("plan_components", _plans(lambda n, q: [(n, len(query_graph.components(q.patterns)), len(query_graph.decompose(q.patterns)))], "query string, components int, stars int"))
-_add("plan_split", _plans(lambda n, q: [(n, i, len(s.patterns)) for i, s in enumerate(query_graph.split(q, 2))], "query string, part int, patterns int"))
+# --- stored graphs, files, plans ----------------------------------------------------------------------
+
+for _name in ("pat_vvc", "pat_cvv", "pat_cvc", "pat_unknown_const", "star_2", "star_5", "star_varpred", "pipe_4", "oo_join", "snowflake", "cart_components", "filter_num", "filter_bool", "filter_text", "distinct_proj"):
+    stored_queries.on_stores(_name, PREFIXES + _TEXTS[_name], _SQL[_name])
+stored_queries.add_publications(query_sql)
+stored_queries.add_encoded(_TERMS, _encoded)
+stored_queries.add_orders(PREFIXES, "SELECT ?o ?r { ?o orders:o_custkey ?c . ?c customer:c_nationkey ?n . ?n nation:n_regionkey ?k . ?k region:r_name ?r }")
+stored_queries.add_filters(PREFIXES, f"SELECT {_iri('orders', 'o_orderkey')} AS o, {_lit('n_name')} AS name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE regexp_matches(n_name, '[13579]$')")
+_add("count_product", lambda spark, d: GraphStore.from_tables(spark, d).bindings_count(PREFIXES + "SELECT ?o ?p { ?o orders:o_custkey ?c . ?p part:p_size ?s FILTER(?s > 25) }"), "SELECT (SELECT count(*) FROM orders) * (SELECT count(*) FROM part WHERE p_size > 25) AS bindings")
+_add("distinct_existence", lambda spark, d: GraphStore.from_tables(spark, d).sparql(PREFIXES + "SELECT DISTINCT ?n { ?x nation:n_name ?n . ?o orders:o_custkey ?c . ?l part:p_size ?s }"), f"SELECT {_lit('n_name')} AS n FROM nation")
+for _key, _run in stored_queries.queries().items():
+    _add(_key, _run, stored_queries.oracle_sql().get(_key))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

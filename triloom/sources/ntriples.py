@@ -40,7 +40,11 @@ def write_ntriples(triples: DataFrame, path: str, by_partition: bool = False) ->
         to_lines(triples).write.text(path)
 
 
-def synthetic_iris(encoded: DataFrame, base: str = "http://num.example.org#") -> DataFrame:
+#: Fixed value: the base of IRIs that carry ids.
+ID_BASE = "http://num.example.org#"
+
+
+def synthetic_iris(encoded: DataFrame, base: str = ID_BASE) -> DataFrame:
     """Encoded triples as triples of IRIs that carry the ids."""
     return encoded.select(*[F.concat(F.lit(f"<{base}"), F.col(c).cast("string"), F.lit(">")).alias(c) for c in ("s", "p", "o")])
 
@@ -51,5 +55,6 @@ def with_literal_flag(triples: DataFrame) -> DataFrame:
 
 
 def repartition_files(lines: DataFrame, path: str, files: int) -> None:
-    """Write lines again as so many files of about equal size (1: merged)."""
-    (lines.coalesce(1) if files == 1 else lines.repartition(files)).write.text(path)
+    """Write lines again as so many files of about equal size (1: merged; the lines come by a shuffle, so only their
+    writing is one task)."""
+    lines.repartition(files).write.text(path)

@@ -12,7 +12,7 @@ digest of all columns.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,16 +85,22 @@ class TableGraph:
             text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
         return F.concat(F.lit('"'), text, F.lit(f'"^^<{XSD}{kind}>'))
 
-    def _only(self, df: DataFrame, table: str, column: str, term: str) -> DataFrame:
-        """Rows that can have this object, by a filter on the stored column where the term is plain enough."""
+    def _can_be(self, table: str, column: str, term: str) -> Column | None:
+        """A condition that rows with this object meet, on the stored column where the term is plain enough; None if no
+        row can have it."""
         kind = MAPPINGS[table].columns[column]
         head, tail = (f"<{BASE}/{kind[1:]}/", ">") if kind.startswith(">") else ('"', f'"^^<{XSD}{kind}>')
         if not (term.startswith(head) and term.endswith(tail) and len(term) >= len(head) + len(tail)):
-            return df.limit(0)
+            return None
         value = term[len(head) : len(term) - len(tail)]
         if kind.startswith(">") or kind == "integer":
-            return df.where(F.col(column) == int(value)) if value.lstrip("-").isdigit() and len(value) < 19 else df.limit(0)
-        return df.where(F.col(column) == value) if kind == "string" and "\\" not in value else df
+            return F.col(column) == int(value) if value.lstrip("-").isdigit() and len(value) < 19 else None
+        return F.col(column) == value if kind == "string" and "\\" not in value else self._object(table, column) == F.lit(term)
+
+    def _only(self, df: DataFrame, table: str, column: str, term: str) -> DataFrame:
+        """Rows that can have this object."""
+        found = self._can_be(table, column, term)
+        return df.limit(0) if found is None else df.where(found)
 
     def _for_subject(self, df: DataFrame, table: str, term: str) -> DataFrame:
         """Rows that can be this subject, by a filter on a single stored key."""
@@ -120,7 +126,7 @@ class TableGraph:
                 df = self._only(df, table, column, o) if o is not None else df
                 parts = [df.where(F.col(column).isNotNull()).select(self._subject(table, df).alias("s"), F.lit(p).alias("p"), self._object(table, column).alias("o"))]
         else:
-            parts = [self._all(t, s) for t in self.tables if s is None or s.startswith(f"<{BASE}/{t}/")]
+            parts = [x for t in self.tables if s is None or s.startswith(f"<{BASE}/{t}/") if (x := self._all(t, s, o)) is not None]
         if not parts:
             return self.spark.createDataFrame([], "s string, p string, o string")
         out = parts[0]
@@ -133,11 +139,20 @@ class TableGraph:
         df = self._for_subject(df, table, s) if s is not None else df
         return df.select(self._subject(table, df).alias("s"), F.lit(RDF_TYPE).alias("p"), F.lit(class_iri(table)).alias("o"))
 
-    def _all(self, table: str, s: str | None) -> DataFrame:
+    def _all(self, table: str, s: str | None, o: str | None) -> DataFrame | None:
+        """Triples of all columns; with an object, only of the columns and rows that can have it."""
         df = self._read(table)
         df = self._for_subject(df, table, s) if s is not None else df
-        pairs = [(F.lit(RDF_TYPE), F.lit(class_iri(table)))] + [(F.lit(predicate_iri(table, c)), self._object(table, c)) for c in MAPPINGS[table].columns]
-        both = F.explode(F.array(*[F.struct(p.alias("p"), o.alias("o")) for p, o in pairs]))
+        columns, typed = list(MAPPINGS[table].columns), o in (None, class_iri(table))
+        if o is not None:
+            found = {c: x for c in columns if (x := self._can_be(table, c, o)) is not None}
+            columns = list(found)
+            if not typed:
+                if not columns:
+                    return None
+                df = df.where(reduce(lambda a, b: a | b, found.values()))
+        pairs = [(F.lit(RDF_TYPE), F.lit(class_iri(table)))] * typed + [(F.lit(predicate_iri(table, c)), self._object(table, c)) for c in columns]
+        both = F.explode(F.array(*[F.struct(p.alias("p"), x.alias("o")) for p, x in pairs]))
         return df.select(self._subject(table, df).alias("s"), both.alias("x")).where("x.o IS NOT NULL").select("s", "x.p", "x.o")
 
     def _home(self, pattern) -> str | None:

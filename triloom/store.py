@@ -9,14 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import dictionary, layout, statistics
+from .operators.shared import materialize
 from .plans import query_graph
-from .plans.compiler import compile_query
+from .plans.compiler import compile_query, count_query
 from .plans.ordering import order
 from .plans.sparql import Query, parse
 from .sources.ntriples import read_ntriples
 from .sources.tables import GRAPH, TableGraph
 
 
+#: Predicates that a query's driver may hold.
+MOST_PREDICATES = 50_000
+
+
 @dataclass
 class GraphConfig:
     """Partitions and hops for distribution planning."""
@@ -55,10 +60,18 @@ class SavedGraph:
         self._dictionary = spark.read.parquet(f"{path}/dictionary") if self.encoded else None
         self._known: dict[str, int | None] = {}
 
+    def prepare(self, terms: list[str]) -> None:
+        """Look up a query's constants in one job; predicates are known from the statistics."""
+        known = {t: x["p"] for t, x in self._rows.items()} if self._rows else {}
+        self._known |= {t: known[t] for t in terms if t in known}
+        if missing := [t for t in terms if t not in self._known]:
+            found = dictionary.look_up(self._dictionary, missing)
+            self._known |= {t: found.get(t) for t in missing}
+
     def constant(self, term: str) -> int | None:
         """The id of a constant; null (which nothing equals) if the graph has no such term."""
         if term not in self._known:
-            self._known[term] = dictionary.look_up(self._dictionary, [term]).get(term)
+            self.prepare([term])
         return self._known[term]
 
     def decode(self, df: DataFrame, column: str) -> DataFrame:
@@ -67,17 +80,24 @@ class SavedGraph:
 
     def scan(self, p=None, s=None, o=None) -> DataFrame:
         if p is None:
-            return self._data.join(F.broadcast(self._predicates.select("pid", "p")) if self._few else self._predicates.select("pid", "p"), "pid").select("s", "p", "o")
+            return self._data.join(F.broadcast(self._predicates.select("pid", "p")) if self._rows is not None else self._predicates.select("pid", "p"), "pid").select("s", "p", "o")
         own = self.constant(p) if self.encoded else p
-        row = self._predicates.where(F.col("p") == F.lit(own)).select("pid").first()
-        if row is None:
+        pid = self._pid(p, own)
+        if pid is None:
             return self._data.limit(0).select("s", F.lit(own).cast(self._data.schema["s"].dataType).alias("p"), "o")
-        return self._data.where(F.col("pid") == row["pid"]).select("s", F.lit(own).alias("p"), "o")
+        return self._data.where(F.col("pid") == pid).select("s", F.lit(own).alias("p"), "o")
+
+    def _pid(self, term: str, own) -> int | None:
+        if self._rows is not None:
+            return self._rows[term]["pid"] if term in self._rows else None
+        row = self._predicates.where(F.col("p") == F.lit(own)).select("pid").first()
+        return row and row["pid"]
 
     @cached_property
-    def _few(self) -> bool:
-        """Whether the predicates may be broadcast (about 100 bytes each)."""
-        return self._predicates.limit(50_001).count() <= 50_000
+    def _rows(self) -> dict | None:
+        """The predicates by their terms, if they are few (about 100 bytes each; else None)."""
+        rows = self._predicates.limit(MOST_PREDICATES + 1).collect()
+        return {r["term"]: r for r in rows} if len(rows) <= MOST_PREDICATES else None
 
     def triples(self) -> DataFrame:
         out = self.scan()
@@ -85,10 +105,7 @@ class SavedGraph:
 
     @cached_property
     def selectivity(self) -> dict[str, int] | None:
-        if not self._few:
-            return None
-        rows = self._predicates.select("term", "subjects").collect()
-        return {r["term"]: r["subjects"] for r in rows}
+        return None if self._rows is None else {t: r["subjects"] for t, r in self._rows.items()}
 
 
 class GraphStore:
@@ -117,12 +134,11 @@ class GraphStore:
 
     def save(self, path: str, encoded: bool = True) -> GraphStore:
         """Write triples by predicate with their statistics, as ids with a dictionary or as terms; the store of the copy."""
-        triples = self.graph.triples()
-        data = triples
+        data = triples = materialize(self.graph.triples())
         if encoded:
             dictionary.shared_ids(triples).write.parquet(f"{path}/dictionary")
             ids = self.spark.read.parquet(f"{path}/dictionary")
-            data = dictionary.encode(triples, ids)
+            data = materialize(dictionary.encode(triples, ids))
         numbered = layout.number_predicates(data)
         stats = statistics.predicate_selectivity(data)
         rows = numbered.join(stats, "p")
@@ -130,8 +146,9 @@ class GraphStore:
             rows = rows.join(ids.select(F.col("id").alias("p"), "term"), "p")
         else:
             rows = rows.withColumn("term", F.col("p"))
-        rows.select("p", "pid", "subjects", "term").coalesce(1).write.parquet(f"{path}/predicates")
-        layout.write_by_predicate(data, f"{path}/triples", self.spark.read.parquet(f"{path}/predicates").select("p", "pid"))
+        # written twice, so that one file of them doesn't make their computation one task
+        materialize(rows.select("p", "pid", "subjects", "triples", "term")).coalesce(1).write.parquet(f"{path}/predicates")
+        layout.write_by_predicate(data, f"{path}/triples", self.spark.read.parquet(f"{path}/predicates"))
         return GraphStore.load(self.spark, path, self.config)
 
     def triples(self) -> DataFrame:
@@ -142,7 +159,12 @@ class GraphStore:
         return compile_query(self.graph, parse(text))
 
     def count(self, text: str) -> int:
-        return self.sparql(text).count()
+        """The number of the query's rows."""
+        return self.bindings_count(text).first()["bindings"]
+
+    def bindings_count(self, text: str) -> DataFrame:
+        """bindings: the number of the query's rows. A product's size is that of its factors, which is never built."""
+        return count_query(self.graph, parse(text))
 
     def match_count(self, text: str) -> DataFrame:
         """component, results: pairs in the star rows that match each component's subjects, joins between stars aside."""
