@@ -31,28 +31,52 @@ def test_against_brute_force(spark, k, num, monkeypatch):
         out = {r["doc_id"]: r for r in jaccard_join.similar_documents(frame(spark, rows(texts)), k, num, 100).collect()}
         want = similar(dict(enumerate(texts)), k, num, 100)
         assert {i: r["component_id"] for i, r in out.items()} == want
+        assert {i: r["n_links"] for i, r in out.items()} == links(texts, k, num)
         assert {i: r["n_shingles"] for i, r in out.items()} == {i: len(shingles(t, k)) for i, t in enumerate(texts)}
 
 
-def test_plain_way_finds_what_keys_cannot_prove(spark, monkeypatch):
+def links(texts: list, k: int, num: int) -> dict:
+    sets = [shingles(t, k) for t in texts]
+    return {i: sum(j != i and bool(x) and bool(y) and 100 * len(x & y) >= num * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)}
+
+
+def test_least_shingles_find_what_buckets_cannot_prove(spark, monkeypatch):
     texts = corpus(9, 60)
-    monkeypatch.setattr(jaccard_join.Grids, "keys", lambda self, s: ([], len(s) > 5))
+    keys = jaccard_join.Grids.keys
+
+    def without_buckets(self, s):
+        return [x for x in keys(self, s)[0] if x[0] == self.TINY], self.differ(len(s)) > 0
+
+    monkeypatch.setattr(jaccard_join.Grids, "keys", without_buckets)
     out = jaccard_join.similar_documents(frame(spark, rows(texts)), 4, 85, 100).collect()
     assert {r["doc_id"]: r["component_id"] for r in out} == similar(dict(enumerate(texts)), 4, 85, 100)
+    assert {r["doc_id"]: r["n_links"] for r in out} == links(texts, 4, 85)
 
 
-def test_unit_join_with_voronoi_cells():
+def test_cells_blocks_and_counts(spark, monkeypatch):
+    """Dense groups and groups of a common passage, as one unit: divided by pivots and blocks, with and without counting."""
     rng = np.random.default_rng(3)
     sets = []
-    for _ in range(12):
+    for _ in range(9):
         base = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
         sets += [np.unique(np.concatenate([base[rng.random(60) > 0.06], rng.integers(0, 1 << 62, 2, dtype=np.uint64)])) for _ in range(12)]
-    unit = jaccard_join.Unit(sets, 85, 100)
-    unit.join(np.arange(len(sets)), leaf=10, pivots=6)
-    plain = jaccard_join.Unit(sets, 85, 100)
-    for i in range(len(sets)):
-        plain.measure(i, np.arange(len(sets)))
-    assert [unit.find(i) for i in range(len(sets))] == [plain.find(i) for i in range(len(sets))]
+    shared = rng.integers(0, 1 << 62, 30, dtype=np.uint64)
+    sets += [np.concatenate([shared, rng.integers(0, 1 << 62, 30, dtype=np.uint64)]) for _ in range(30)]
+    n = len(sets)
+    weight = rng.integers(1, 4, n)
+    near = np.array([[i != j and 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y)) for j, y in enumerate(sets)] for i, x in enumerate(sets)])
+    data = [(7, i, bytearray(np.sort(x).tobytes()), int(weight[i]), True, 0, None) for i, x in enumerate(sets)]
+    cells = spark.createDataFrame(data, jaccard_join._SETS)
+    groups = {r["node"]: r["label"] for r in components(spark.createDataFrame([(int(i), int(j)) for i, j in zip(*near.nonzero(), strict=True)], "a long, b long")).collect()}
+    for most in (1000, 20, 5):
+        monkeypatch.setattr(jaccard_join, "SETS", most)
+        for counting in (True, False):
+            found = jaccard_join.join_units(cells, 85, 100, counting).cache()
+            got = {r["node"]: r["label"] for r in components(found, "k", "head").collect()}
+            assert got == groups
+            if counting:
+                count = {r[0]: r[1] for r in found.groupBy("k").agg({"links": "sum"}).collect()}
+                assert [count[i] for i in range(n)] == (near * weight).sum(1).tolist()
 
 
 def test_keep_one_keeps_columns_and_one_of_each(spark):

@@ -8,18 +8,24 @@ contents of hash buckets of the shingle space, and document pivots divide what l
 1. Landmark regions. Sets of like size share a grid of buckets. Two linked sets differ in at most H shingles, so of
    the ``ne`` buckets that a set fills at least a = ne - H are the same in the other (a pigeonhole bound); the
    content of each bucket is a region key. Sets near the border of a size class are replicated into the next
-   grid, the window in which partners can lie.
+   grid, the window in which partners can lie. A set that fills no more than H buckets (a tiny one) proves nothing so:
+   all sets of sizes that can be linked with such a one also have keys of another kind, their H + l least shingles, of
+   which linked sets share at least l.
 2. A region that more than CROWD sets share says little (a passage that many documents have): it is left to the
    sets that have at least a such crowded keys, as all others share a quieter key with each partner. Sets that
    share fewer than a keys with anything have no partner.
-3. Overlapping regions are united (candidate components) and each is joined exactly: pivots are drawn from its
-   documents, each document goes to the Voronoi cell of its nearest pivot and to those within 2 eps of that (the
-   triangle inequality shows that no partner is missed), and cells are joined recursively; within a cell, pairs that
-   a pivot's distances rule out or that are connected already aren't compared.
-4. United regions too large for a task fall back to their single regions; a region too large for a task loses its
-   pivot's ball in distributed rounds, but for the shell that an outsider can still reach.
-
-Sets that fill no more than H buckets (tiny ones; about 1 in 10,000) are compared with all sets in blocks.
+3. Overlapping regions are united (candidate components). One that is too large for a task is divided by document
+   pivots: each document goes to the Voronoi cell of its nearest pivot, its home, and to those within 2 eps of that (the
+   triangle inequality shows that each partner of a document is in its home cell), and cells are divided in turn. Cells
+   are rows of a table, so that any number of tasks works on a region. A cell that its pivots don't part (all documents
+   are about as far from each other) is joined in pairs of blocks.
+4. Within a cell that fits a task, each document is compared with those that a few more pivots' distances don't rule
+   out. A document counts its links in its home cell, once.
+
+Where only groups are asked for, not links, documents that are linked with a pivot and can't be reached by any
+document that isn't leave the recursion at once, and cells stop comparing what is connected already: the work on a dense
+group is then linear. Counting the links of a dense group of different texts takes comparisons that grow with its square,
+as the links themselves do.
 
 Shingles and classes are told apart by 64-bit hashes. Null and empty texts have an empty set and link with
 nothing; very long texts are single rows of their set; repeated rows fall in one class; a null id is a document
@@ -34,14 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bounded_batches, bucket_of, by_bucket, materialize, mix64, unpacked, whole_text, word_hashes
+from .common import batches, bounded_batches, bucket_of, by_bucket, materialize, mix64, partitions_for, unpacked, whole_text, word_hashes
 from .components import components
 
 CROWD = 32
 #: What one task joins at most: sets, and shingles (8 bytes each, about four times that in work).
-SETS, SHINGLES = 4096, 6_000_000
-#: Sets that are compared with all others at once (see above).
-BLOCK = 1000
+SETS, SHINGLES = 512, 4_000_000
+#: Pivots that a cell is divided by, on average, and keys that tiny sets share at least, if they have so many shingles.
+PIVOTS, LEAST = 12, 8
 _ROW = np.dtype([("sig", "<u8"), ("k", "<u8")])
 _M64 = (1 << 64) - 1
 
@@ -76,10 +82,13 @@ def set_key(s: np.ndarray) -> np.uint64:
 
 
 class Grids:
-    """Size classes with their buckets, for a threshold of num / den."""
+    """Region keys of sets: size classes with their buckets, for a threshold of num / den; few: sizes of sets whose
+    buckets prove nothing."""
+
+    TINY = 200  # the number of the grid of least shingles
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, few: tuple[int, ...] = ()):
+        self.num, self.den, self.few = num, den, np.array(few, np.int64)
         self.least = [1]
         while self.least[-1] < 1 << 40:
             self.least.append(max(self.least[-1] + 1, self.least[-1] * 3 // 2))
@@ -89,8 +98,12 @@ class Grids:
         """Most shingles in which a linked set can differ from one of n."""
         return (self.den - self.num) * n // self.num
 
+    def _common(self, n: int) -> int:
+        """Fewest shingles that a set of n has in common with a linked one."""
+        return -(-self.num * n // self.den)
+
     def keys(self, s: np.ndarray) -> tuple[list[tuple[int, int, np.ndarray]], bool]:
-        """(grid, a, region keys) for each grid that a set belongs to; whether some pairs need the plain way."""
+        """(grid, a, region keys) for each grid that a set belongs to; whether some grid's keys prove nothing."""
         n = len(s)
         if not self.differ(n):
             return [], False
@@ -108,6 +121,10 @@ class Grids:
                 plain = True
                 continue
             out.append((grid, a, mix64(np.add.reduceat(m, first) + b[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(grid * 0xC2B2AE3D27D4EB4F & _M64))))
+        if len(self.few) and ((self.num * n <= self.den * self.few) & (self.num * self.few <= self.den * n)).any():
+            l, other = min(LEAST, self._common(n)), min(LEAST, self._common(self._common(n)))
+            m.sort()
+            out.append((self.TINY, min(l, other), mix64(m[: n - self._common(n) + l] + np.uint64(self.TINY))))
         return out, plain
 
 
@@ -137,11 +154,11 @@ def set_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return _binary_texts(docs).mapInArrow(run, f"doc_id {kind}, n_shingles long, k long, plain boolean")
 
 
-def region_keys(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
+def region_keys(docs: DataFrame, k: int, num: int, den: int, buckets: int, few: tuple[int, ...] = ()) -> DataFrame:
     """(bucket, rows): the region keys of all classes, packed by bucket of the key."""
 
     def run(parts):
-        grids = Grids(num, den)
+        grids = Grids(num, den, few)
         for part in parts:
             sig, key, size, seen = [], [], [], set()
             raw = [t.as_buffer().to_pybytes() for t in part.column(1)]
@@ -190,34 +207,23 @@ def _regions(table: pa.Table) -> pa.Table:
     return pa.table({"region": np.repeat(region, size)[rows].view(np.int64), "k": k[rows].view(np.int64), "grid": (low[rows] >> np.uint64(8)).astype(np.int64), "a": (low[rows] & np.uint64(255)).astype(np.int64), "n_keys": np.repeat(times, size)[rows], "size": np.repeat(size, size)[rows].astype(np.int64)})
 
 
-# --- joining the sets of a unit -----------------------------------------------------------------------
+# --- joining the sets of a cell -----------------------------------------------------------------------
 
 
-class Unit:
-    """Sets that may be linked, their labels (union-find), and exact comparisons with pivots."""
+class Cell:
+    """Sets that may be linked, and exact comparisons of one with many."""
 
-    def __init__(self, sets: list[np.ndarray], num: int, den: int, label: list[int] | None = None):
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
         self.num, self.den, self.eps = num, den, 1 - num / den + 1e-9
         self.size = np.array([len(s) for s in sets], np.int64)
         self.start = np.cumsum(self.size) - self.size
         _, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
         self.mark = np.zeros(int(self.flat.max(initial=0)) + 1, bool)
-        self.root = list(range(len(sets)))
-        for i, x in enumerate(label or []):
-            self.unite(i, x)
-
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = i = self.root[self.root[i]]
-        return i
-
-    def unite(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        self.root[max(i, j)] = min(i, j)
+        self.root = np.arange(len(sets))
 
-    def common(self, pivot: int, others: np.ndarray) -> np.ndarray:
+    def common(self, one: int, others: np.ndarray) -> np.ndarray:
         """Intersection sizes of a set with others."""
-        own = self.flat[self.start[pivot] : self.start[pivot] + self.size[pivot]]
+        own = self.flat[self.start[one] : self.start[one] + self.size[one]]
         self.mark[own] = True
         n = self.size[others]
         at = np.cumsum(n) - n
@@ -225,212 +231,196 @@ class Unit:
         self.mark[own] = False
         return np.add.reduceat(hit, at, dtype=np.int64)
 
-    def measure(self, pivot: int, others: np.ndarray) -> np.ndarray:
-        """Distances to a set; links those near enough."""
-        both = self.common(pivot, others)
-        union = self.size[pivot] + self.size[others] - both
-        for j in others[self.den * both >= self.num * union].tolist():
-            self.unite(pivot, j)
-        return 1 - both / union
-
-    def join(self, who: np.ndarray, leaf: int = 48, pivots: int = 8) -> None:
-        """Link all linked pairs among who, or connect them through others."""
-        if len(who) > leaf:
-            chosen = who[np.linspace(0, len(who) - 1, pivots).astype(np.int64)]
-            far = np.stack([self.measure(p, who) for p in chosen.tolist()])
-            near = far <= far.min(0) + 2 * self.eps
-            if near.sum(1).max() < 0.8 * len(who):
-                for cell in near:
-                    self.join(who[cell], leaf, pivots)
-                return
-        else:
-            chosen, far = who[:0], np.zeros((0, len(who)))
-        self._pivot_by_pivot(who, far)
-
-    def _pivot_by_pivot(self, who: np.ndarray, far: np.ndarray) -> None:
-        known = far
-        while len(who) > 1:
-            label = np.array([self.find(i) for i in who.tolist()])
-            names, inverse, count = np.unique(label, return_inverse=True, return_counts=True)
-            if len(names) == 1:
-                return
-            # a document outside the largest connected group is the next pivot; then it is done
-            p = int(np.argmax(inverse != count.argmax()))
-            open_ = (label != label[p]) & (self.num * np.maximum(self.size[who], self.size[who[p]]) <= self.den * np.minimum(self.size[who], self.size[who[p]]))
-            if len(known):
-                open_ &= (np.abs(known - known[:, p : p + 1]) <= self.eps).all(0)
-            if open_.any():
-                self.measure(int(who[p]), who[open_])
-            keep = np.ones(len(who), bool)
-            keep[p] = False
-            who, known = who[keep], known[:, keep]
-
-
-def _resolver(num: int, den: int):
-    """Links (a, b) that connect what is connected within a unit."""
-
-    def resolve(table: pa.Table) -> pa.Table:
-        k = table["k"].to_numpy()
-        _, one = np.unique(k, return_index=True)
-        sets = table["set"].combine_chunks()
-        unit = Unit([np.frombuffer(sets[int(i)].as_buffer(), np.uint64) for i in one], num, den)
-        if "label" in table.column_names:
-            place = {int(x): j for j, x in enumerate(k[one])}
-            for j, x in enumerate(table["label"].take(pa.array(one)).to_pylist()):
-                if x is not None and x in place:
-                    unit.unite(j, place[x])
-        unit.join(np.arange(len(one)))
-        pairs = [(int(k[one[i]]), int(k[one[r]])) for i in range(len(one)) if (r := unit.find(i)) != i]
-        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
-
-    resolve.__annotations__ = {"table": pa.Table, "return": pa.Table}
-    return resolve
+    def measure(self, one: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances to a set, and which are links."""
+        both = self.common(one, others)
+        union = self.size[one] + self.size[others] - both
+        return 1 - both / union, self.den * both >= self.num * union
+
+    def roots(self, who: np.ndarray) -> np.ndarray:
+        r = self.root[who]
+        while (self.root[r] != r).any():
+            r = self.root[r]
+        return r
+
+    def unite(self, who: np.ndarray) -> None:
+        r = self.roots(who)
+        self.root[who] = self.root[r] = r.min()
+
+    def join(self, home: np.ndarray, side: np.ndarray, weight: np.ndarray, counting: bool) -> np.ndarray:
+        """Unite what is linked; with counting, the weight of all that each set at home is linked with. Sets of one side
+        are compared with those of the other, if there are two sides."""
+        every = np.arange(len(self.size))
+        chosen = np.linspace(0, len(every) - 1, 8).astype(np.int64) if len(every) > 48 else every[:0]
+        far = np.stack([self.measure(p, every)[0] for p in chosen.tolist()]) if len(chosen) else np.zeros((0, len(every)))
+        links, two = np.zeros(len(every), np.int64), side.min() != side.max()
+        for i in np.flatnonzero(home).tolist():
+            open_ = (self.num * self.size <= self.den * self.size[i]) & (self.num * self.size[i] <= self.den * self.size)
+            open_ &= (np.abs(far - far[:, i : i + 1]) <= self.eps).all(0)
+            open_[i] = False
+            if two:
+                open_ &= side != side[i]
+            others = np.flatnonzero(open_)
+            if not counting and len(others):
+                others = others[self.roots(others) != self.roots(every[i : i + 1])]
+            if len(others):
+                near = others[self.measure(i, others)[1]]
+                if len(near):
+                    links[i] = weight[near].sum()
+                    self.unite(np.append(near, i))
+        return links
+
+
+def _joined(num: int, den: int, counting: bool):
+    """For each set of a cell: the least set that it is connected with here, and its links if it is at home."""
+
+    def join(table: pa.Table) -> pa.Table:
+        key = table["k"].to_numpy()
+        _, one = np.unique(key, return_index=True)  # repeated rows have one set
+        sets, key = table["set"].combine_chunks(), key[one]
+        cell = Cell([np.frombuffer(sets[int(i)].as_buffer(), np.uint64) for i in one], num, den)
+        home, side, weight = (table[c].to_numpy()[one] for c in ("home", "side", "weight"))
+        links = cell.join(home, side, weight, counting)
+        return pa.table({"k": pa.array(key), "head": pa.array(key[cell.roots(np.arange(len(key)))]), "links": pa.array(links, mask=~home)})
+
+    join.__annotations__ = {"table": pa.Table, "return": pa.Table}
+    return join
+
+
+def _distances(num: int, den: int):
+    """Distances of a share of a cell's sets to the cell's pivots (pivots, d and linked, aligned)."""
+
+    def measure(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        at, own = np.unique(pivots["k"].to_numpy(), return_index=True) if pivots.num_rows else (np.zeros(0, np.int64), [])
+        many = pivots["set"].combine_chunks() if len(own) else []
+        sets = rows["set"].combine_chunks()
+        both = [np.frombuffer(x.as_buffer(), np.uint64) for x in [*(many[int(i)] for i in own), *sets]]
+        d, linked = np.zeros((rows.num_rows, len(at))), np.zeros((rows.num_rows, len(at)), bool)
+        if rows.num_rows and len(at):
+            cell, others = Cell(both, num, den), np.arange(len(at), len(both))
+            for j in range(len(at)):
+                d[:, j], linked[:, j] = cell.measure(j, others)
+        out = rows.drop_columns(["salt"])
+        lists = [pa.array([x.tolist()] * rows.num_rows if i == 0 else x.tolist(), pa.list_(t)) for i, (x, t) in enumerate(((at, pa.int64()), (d, pa.float64()), (linked, pa.bool_())))]
+        for name, x in zip(("pivots", "d", "linked"), lists, strict=True):
+            out = out.append_column(name, x)
+        return out
+
+    measure.__annotations__ = {"rows": pa.Table, "pivots": pa.Table, "return": pa.Table}
+    return measure
+
+
+_SETS = "unit long, k long, set binary, weight long, home boolean, side int, was long"
+
+
+def _divided(rows: DataFrame, turn: int, num: int, den: int, counting: bool) -> tuple[DataFrame, DataFrame]:
+    """Cells of rows (with sets, the size of the unit, and parts, the tasks that it needs), and links found on the way."""
+    share = F.pmod(F.xxhash64("k", F.lit(turn)), F.col("sets")) < PIVOTS
+    chosen = rows.where(F.col("home") & share).select(*[F.col(c).alias(c) for c in ("unit", "k", "set")], F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("salt"))
+    members = rows.select("unit", "k", "set", "weight", "home", F.lit(0).alias("side"), F.col("sets").alias("was"), F.pmod(F.xxhash64("k", F.lit(-1)), F.col("parts")).cast("int").alias("salt"))
+    seen = materialize(members.groupBy("unit", "salt").cogroup(chosen.groupBy("unit", "salt")).applyInArrow(_distances(num, den), f"{_SETS}, pivots array<long>, d array<double>, linked array<boolean>"))
+    eps = 1 - num / den + 1e-9
+    links = seen.select("k", F.explode(F.arrays_zip("pivots", "linked")).alias("x")).where("x.linked AND x.pivots <> k").select("k", F.col("x.pivots").alias("head"))
+    if not counting:
+        # how near a document that isn't linked with a pivot comes to it
+        shell = seen.select("unit", F.posexplode(F.arrays_zip("d", "linked"))).groupBy("unit", "pos").agg(F.min(F.when(~F.col("col.linked"), F.col("col.d"))).alias("shell"))
+        shell = shell.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("pos", "shell"))).alias("shells"))
+        safe = F.exists(F.arrays_zip("d", "linked", "shells"), lambda x: x["linked"] & F.coalesce(x["d"] + eps < x["shells"]["shell"], F.lit(True)))
+        seen = seen.join(shell, "unit", "left").where(~F.coalesce(safe, F.lit(False)))
+    least = F.array_min("d")
+    cells = seen.select("*", F.posexplode_outer("d").alias("cell", "far")).where(F.col("far").isNull() | (F.col("far") <= least + 2 * eps))
+    at_home = F.col("home") & (F.col("cell").isNull() | (F.col("cell") + 1 == F.array_position("d", least)))
+    unit = F.xxhash64("unit", F.lit(turn), F.get("pivots", F.col("cell")))
+    return cells.select(unit.alias("unit"), "k", "set", "weight", at_home.alias("home"), "side", "was"), links
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Pairs of blocks of units that pivots don't part; a pair of blocks has two sides."""
+    blocks, own = F.col("parts").cast("int"), F.pmod(F.xxhash64("k", F.lit(-2)), F.col("parts")).cast("int")
+    pairs = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    unit = F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other"))
+    return pairs.select(unit.alias("unit"), "k", "set", "weight", "home", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "was")
+
+
+def join_units(rows: DataFrame, num: int, den: int, counting: bool) -> DataFrame:
+    """k, head (a set that k is connected with) and links (in parts, to be summed) of the sets of units."""
+    def joined(cells: DataFrame) -> DataFrame:
+        return cells.groupBy("unit").applyInArrow(_joined(num, den, counting), "k long, head long, links long")
+
+    parts = F.ceil(F.greatest(F.col("sets") / SETS, F.col("shingles") / SHINGLES))
+    out, turn = None, 0
+    while True:
+        sizes = rows.groupBy("unit").agg(F.count("*").alias("sets"), F.sum(F.length("set") / 8).alias("shingles"), F.max("was").alias("_was"))
+        large = materialize(sizes.where((F.col("sets") > SETS) | ((F.col("shingles") > SHINGLES) & (F.col("sets") > 16))).select("unit", "sets", parts.alias("parts"), (F.col("sets") > 0.7 * F.col("_was")).alias("dense")))
+        if not large.limit(1).count():
+            last = joined(rows)
+            return last if out is None else out.unionByName(last)
+        rest = rows.join(large, "unit")
+        dense = F.coalesce(F.col("dense"), F.lit(False))
+        found = joined(rows.join(large, "unit", "left_anti")).unionByName(joined(_in_blocks(rest.where(dense))))
+        cells, links = _divided(rest.where(~dense), turn, num, den, counting)
+        found = found.unionByName(links.withColumn("links", F.lit(None).cast("long")))
+        out = found if out is None else out.unionByName(found)
+        rows, turn = materialize(cells), turn + 1
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """wanted (unit, k, doc_id of a document with that set) with the set of each row."""
+    """wanted (unit, k, weight, doc_id of a document with that set) with the set of each row."""
     # a repeated id may have other texts: the class tells whose set it is
 
     def run(parts):
         for part in parts:
-            sets = shingle_sets([t.as_buffer().to_pybytes() for t in part.column(2)], k)
+            sets = shingle_sets([t.as_buffer().to_pybytes() for t in part.column(3)], k)
             key = np.array([set_key(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             right = key == part.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(right)), pa.array(key[right]), pa.array([s.tobytes() for s, ok in zip(sets, right.tolist(), strict=True) if ok], pa.binary())], ["unit", "k", "set"])
+            mask = pa.array(right)
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), pa.array(key[right]), pa.array([s.tobytes() for s, ok in zip(sets, right.tolist(), strict=True) if ok], pa.binary()), part.column(2).filter(mask)], ["unit", "k", "set", "weight"])
 
-    w = wanted.select("unit", "k", F.col("doc_id").alias("_id"))
-    joined = _binary_texts(docs).join(w.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("unit", "k", "text")
-    return joined.mapInArrow(run, "unit long, k long, set binary")
-
-
-def _pair_distance(num: int, den: int):
-    @F.pandas_udf("struct<distance:double,linked:boolean>")
-    def distance(own, other):
-        import pandas as pd
-
-        out = []
-        for a, b in zip(own, other, strict=True):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            union = len(a) + len(b) - both
-            out.append((1 - both / union, den * both >= num * union))
-        return pd.DataFrame(out, columns=["distance", "linked"])
-
-    return distance
-
-
-def _too_large(units: DataFrame) -> DataFrame:
-    """Units that a task shouldn't join."""
-    sizes = units.groupBy("unit").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    return sizes.where((F.col("sets") > SETS) | ((F.col("shingles") > SHINGLES) & (F.col("sets") > 64))).select("unit")
-
-
-def _pivot_rounds(units: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Shrink large units: links found on the way, and what is left to join, small enough for a task."""
-    links, done, turn = [], [], 0
-    eps = 1 - num / den + 1e-9
-    rest = units.withColumn("n", F.length("set") / 8).withColumn("label", F.lit(None).cast("long"))
-    while True:
-        large = materialize(_too_large(rest))
-        small = rest.join(large, "unit", "left_anti")
-        done.append(small)
-        if not large.limit(1).count():
-            break
-        turn += 1
-        rest = rest.join(large, "unit", "left_semi")
-        chosen = rest.groupBy("unit").agg(F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), F.col("k").alias("k"))).alias("p")).select("unit", F.col("p.k").alias("pivot"))
-        pivots = rest.join(chosen, "unit").where("k = pivot").select("unit", "pivot", F.col("set").alias("pivot_set")).dropDuplicates(["unit"])
-        seen = rest.join(pivots, "unit").withColumn("d", _pair_distance(num, den)("set", "pivot_set")).drop("pivot_set")
-        seen = materialize(seen.where("k <> pivot"))
-        links.append(seen.where("d.linked").select(F.col("k").alias("a"), F.col("pivot").alias("b")))
-        shell = seen.where("NOT d.linked").groupBy("unit").agg(F.min("d.distance").alias("nearest"))
-        kept = seen.join(shell, "unit").where(~F.col("d.linked") | (F.col("d.distance") >= F.col("nearest") - eps))
-        rest = materialize(kept.select("unit", "k", "set", "n", F.when(F.col("d.linked"), F.col("pivot")).otherwise(F.col("label")).alias("label")))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out, links
+    w = wanted.select("unit", "k", "weight", F.col("doc_id").alias("_id"))
+    joined = _binary_texts(docs).join(w.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("unit", "k", "weight", "text")
+    return joined.mapInArrow(run, "unit long, k long, set binary, weight long")
 
 
 # --- the join -----------------------------------------------------------------------------------------
 
 
-def classes_and_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The set table, the classes (k, doc_id, n, plain) and links (a, b) that connect linked classes."""
+def classes_and_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, counting: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The set table, the classes (k, doc_id, n, weight: their rows) and k, head (connected with k), links (the rows of the
+    classes that k is linked with; in parts, to be summed)."""
     spark = docs.sparkSession
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(whole_text())), F.lit(0))).first()[0]
     table = materialize(set_table(docs, k, num, den))
-    classes = materialize(table.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("plain").alias("plain")))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = region_keys(docs, k, num, den, buckets)
+    classes = materialize(table.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("plain").alias("plain"), F.count("*").alias("weight")))
+    few = tuple(sorted(r["n"] for r in classes.where("plain").select("n").distinct().collect()))  # sizes, no sets
+    keys = region_keys(docs, k, num, den, partitions_for(spark, total, 16 << 20), few)
     regions = materialize(keys.groupBy("bucket").applyInArrow(_regions, "region long, k long, grid long, a long, n_keys long, size long"))
     crowded = F.col("size") > CROWD
     shared = regions.groupBy("k", "grid").agg(F.sum("n_keys").alias("shared"), F.sum(F.when(crowded, F.col("n_keys")).otherwise(0)).alias("crowded"))
     members = regions.join(shared, ["k", "grid"]).where((F.col("shared") >= F.col("a")) & (~crowded | (F.col("crowded") >= F.col("a")))).select("region", "k").distinct()
     heads = members.groupBy("region").agg(F.min("k").alias("head"), F.count("*").alias("many")).where("many > 1")
-    members = materialize(members.join(heads, "region").select("region", "k", "head"))
-    united = components(members.where("k <> head"), "k", "head").withColumnRenamed("node", "k").withColumnRenamed("label", "unit")
-    united = materialize(united.join(classes, "k").select("unit", "k", "doc_id", "n"))
-    large = materialize(_too_large(united))
-    links = []
-    if large.limit(1).count():
-        apart = united.join(large, "unit", "left_semi").select("k", "doc_id", "n")
-        regional = members.select(F.col("region").alias("unit"), "k").join(apart, "k")
-        rest, links = _pivot_rounds(_sets_of(docs, regional, k), num, den)
-        links.append(rest.select("unit", "k", "set", "label").groupBy("unit").applyInArrow(_resolver(num, den), "a long, b long"))
-        united = united.join(large, "unit", "left_anti")
-    links.append(_sets_of(docs, united, k).groupBy("unit").applyInArrow(_resolver(num, den), "a long, b long"))
-    links += _plain_links(docs, table, classes, k, num, den)
-    out = links[0]
-    for x in links[1:]:
-        out = out.union(x)
-    return table, classes, out
-
-
-def _plain_links(docs: DataFrame, table: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> list[DataFrame]:
-    """Links of the few sets whose region keys prove nothing: compared with all sets, a block of them at a time."""
-    few = [(r["k"], r["doc_id"]) for r in classes.where("plain").select("k", "doc_id").toLocalIterator()]
-    out = []
-    for i in range(0, len(few), BLOCK):
-        wanted = classes.sparkSession.createDataFrame([(0, *x) for x in few[i : i + BLOCK]], f"unit long, k long, doc_id {classes.schema['doc_id'].dataType.simpleString()}")
-        sets = {r["k"]: bytes(r["set"]) for r in _sets_of(docs, F.broadcast(wanted), k).collect()}
-
-        def run(parts, sets=sets):
-            mine = {key: np.frombuffer(s, np.uint64) for key, s in sets.items()}
-            most = max(map(len, mine.values())) * den // num
-            flat = np.concatenate(list(mine.values()))
-            owner = np.repeat(np.arange(len(mine)), [len(s) for s in mine.values()])
-            order = np.argsort(flat, kind="stable")
-            flat, owner, names, size = flat[order], owner[order], list(mine), np.array([len(s) for s in mine.values()])
-            for part in parts:
-                pairs = set()
-                for s in shingle_sets([t.as_buffer().to_pybytes() for t in part.column(1)], k):
-                    if not len(s) or len(s) > most:
-                        continue
-                    lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
-                    if (hi > lo).any():
-                        both = np.bincount(np.concatenate([owner[a:b] for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True)]), minlength=len(size))
-                        own = int(set_key(s).view(np.int64))
-                        pairs |= {(own, names[j]) for j in np.flatnonzero((both > 0) & (den * both >= num * (size + len(s) - both))).tolist() if names[j] != own}
-                pairs = sorted(pairs)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
-
-        out.append(_binary_texts(docs).mapInArrow(run, "a long, b long"))
-    return out
+    united = components(members.join(heads, "region").where("k <> head"), "k", "head").withColumnRenamed("node", "k").withColumnRenamed("label", "unit")
+    wanted = materialize(united.join(classes, "k").select("unit", "k", "doc_id", "weight"))
+    rows = _sets_of(docs, wanted, k).select("*", F.lit(True).alias("home"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("was"))
+    return table, classes, materialize(join_units(materialize(rows), num, den, counting))
 
 
-def _labelled(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """The set table, and k, doc_id and label (the same for linked classes) of each class."""
-    table, classes, links = classes_and_links(docs, k, num, den)
-    label = components(links).select(F.col("node").alias("k"), "label")
-    return table, classes.join(label, "k", "left").select("k", "doc_id", F.coalesce("label", "k").alias("label"))
+def _labelled(docs: DataFrame, k: int, num: int, den: int, counting: bool) -> tuple[DataFrame, DataFrame]:
+    """The set table, and k, doc_id, label (the same for linked classes) and n_links (of each row) of each class."""
+    table, classes, found = classes_and_links(docs, k, num, den, counting)
+    label = components(found, "k", "head").select(F.col("node").alias("k"), "label")
+    links = found.groupBy("k").agg(F.sum("links").alias("links"))
+    named = classes.join(label, "k", "left").join(links, "k", "left")
+    return table, named.select("k", "doc_id", F.coalesce("label", "k").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
 
 
 def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) for each row of docs."""
-    table, named = _labelled(docs, k, num, den)
+    """doc_id, n_shingles, component_id (smallest id reachable by links) and n_links (how many other rows it is linked
+    with) for each row of docs."""
+    table, named = _labelled(docs, k, num, den, True)
+    named = materialize(named)
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(least, "label").select("k", "component_id")
-    return table.join(found, "k", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = named.join(least, "label").select("k", "component_id", "n_links")
+    return table.join(found, "k", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _class_of(k: int):
@@ -455,7 +445,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     """
     from pyspark.sql import Window
 
-    _, named = _labelled(docs, k, num, den)
+    _, named = _labelled(docs, k, num, den, False)
     first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k")).alias("x")).select(F.col("x.k").alias("_k"), F.col("x.doc_id").alias("_id"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = bounded_batches(docs).select("doc_id", F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("h"), _class_of(k)(whole_text().cast("binary")).alias("k"))
@@ -475,5 +465,5 @@ both_have AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s
 links AS (SELECT x, y FROM both_have JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
 edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT a, y FROM reach JOIN edges ON b = x)
-SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a
+SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id, coalesce(any_value(e.n), 0) AS n_links FROM reach LEFT JOIN n ON n.doc_id = a LEFT JOIN (SELECT x, count(*) AS n FROM edges GROUP BY x) e ON e.x = a GROUP BY a
 """
