@@ -94,7 +94,7 @@ def test_disclosure_against_counting(spark):
                 near[e, words[i][2]] += 1
                 size[e] += 1
     n = sum(total.values())
-    told = {(e, w) for (e, w), c in near.items() if c >= pii.SUPPORT and 1 + math.log(c / total[w]) / math.log(n / size[e]) >= pii.GENERALISE}
+    told = {(e, w) for (e, w), c in near.items() if 1 + math.log((c - pii.DISCOUNT) / total[w]) / math.log(n / size[e]) >= pii.GENERALISE}
     found = set()
     for r in pii.report(frame(spark, rows(texts))).collect():
         t = texts[r["doc_id"]] or ""

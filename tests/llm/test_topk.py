@@ -4,14 +4,14 @@ import pytest
 from triloom.llm import topk
 
 
-def brute(ids, vectors, k):
+def brute(rows, k):
     out = []
-    for q in [i for i in ids if i % 50 == 0]:
-        v = np.floor(256 * np.array(vectors[q], np.float64)).astype(np.int64)
+    for q, own in {(i, tuple(v)) for i, v in rows if i % 50 == 0}:
+        v = np.floor(256 * np.array(own, np.float64)).astype(np.int64)
         found = []
-        for i in ids:
+        for i, other in rows:
             if i != q:
-                w = np.floor(256 * np.array(vectors[i], np.float64)).astype(np.int64)
+                w = np.floor(256 * np.array(other, np.float64)).astype(np.int64)
                 n = min(len(v), len(w))
                 found.append((-int(v[:n] @ w[:n]), i))
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(found)[:k])]
@@ -29,9 +29,10 @@ def test_against_brute_force(spark, monkeypatch, shard):
     vectors[7] = vectors[7][:5]
     vectors[8] = []
     rows = [(i, v) for i, v in vectors.items()] + [(1000, None), (1050, [None] * 8), (1100, [float("nan")] * 8), (1150, [float("inf")] * 8), (None, [0.1] * 8)]
-    df = spark.createDataFrame([(i, v, "x") for i, v in rows + rows[:3]], "vec_id long, embedding array<double>, score string")
+    again = [(0, vectors[0]), (1, vectors[1]), (50, vectors[3]), (51, vectors[50])]  # a repeated row, and ids with two vectors
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows + again], "vec_id long, embedding array<double>, score string")
     got = sorted(tuple(r) for r in topk.search(df).collect())
-    assert got == brute(sorted(vectors), vectors, 5)
+    assert got == brute([*vectors.items(), *again], 5)
 
 
 def test_few_rows(spark):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 
@@ -10,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import shared_dir
+
 #: The characters that separate words: blank, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,22 +19,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="triloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
 
     The shuffle files of the write go when it ends; nothing reads them again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -70,6 +62,16 @@ def whole_text(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def valid_text(column: str = "text"):
+    """The whole text, with U+FFFD for each stretch of bytes that is no UTF-8."""
+    return F.make_valid_utf8(whole_text(column))
+
+
+def as_row(docs: DataFrame):
+    """All columns of docs as one, so that no name of theirs meets a working column's."""
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+
+
 def fold_of(doc_id, folds: int) -> int:
     """crc32 of the id's decimal text, modulo folds; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds

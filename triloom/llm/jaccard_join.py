@@ -327,11 +327,16 @@ def _divided(rows: DataFrame, turn: int, num: int, den: int, counting: bool) ->
         shell = shell.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("pos", "shell"))).alias("shells"))
         safe = F.exists(F.arrays_zip("d", "linked", "shells"), lambda x: x["linked"] & F.coalesce(x["d"] + eps < x["shells"]["shell"], F.lit(True)))
         seen = seen.join(shell, "unit", "left").where(~F.coalesce(safe, F.lit(False)))
+    # each set's home and the cells that it comes near; units whose sets come near most cells aren't parted
     least = F.array_min("d")
-    cells = seen.select("*", F.posexplode_outer("d").alias("cell", "far")).where(F.col("far").isNull() | (F.col("far") <= least + 2 * eps))
+    near = F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda i: F.get("d", i) <= least + 2 * eps)
+    seen = seen.withColumn("near", F.when(F.size("d") > 0, near))
+    spread = seen.groupBy("unit").agg((F.sum(F.size("near")) <= 0.5 * F.sum(F.size("d"))).alias("parted"))
+    cells = seen.join(spread, "unit").withColumn("cell", F.explode(F.when(F.col("parted"), F.col("near")).otherwise(F.array(F.lit(None).cast("int")))))
     at_home = F.col("home") & (F.col("cell").isNull() | (F.col("cell") + 1 == F.array_position("d", least)))
     unit = F.xxhash64("unit", F.lit(turn), F.get("pivots", F.col("cell")))
-    return cells.select(unit.alias("unit"), "k", "set", "weight", at_home.alias("home"), "side", "was"), links
+    was = F.when(F.col("cell").isNotNull(), F.col("was")).otherwise(F.lit(1).cast("long"))
+    return cells.select(unit.alias("unit"), "k", "set", "weight", at_home.alias("home"), "side", was.alias("was")), links
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:

@@ -116,39 +116,55 @@ def _chunks(data: bytes, at: int, end: int):
         at += 8 + n + (n & 1)
 
 
+def _frames_in(data: bytes, at: int, end: int):
+    """Start and size of the video chunks of a movi list, those within rec lists, too."""
+    for tag, a, b in _chunks(data, at, end):
+        if tag == b"LIST" and data[a : a + 4] == b"rec ":
+            yield from _frames_in(data, a + 4, b)
+        elif tag[2:] in (b"dc", b"db"):
+            yield a, b - a
+
+
 def read_avi(data: bytes) -> dict:
-    """fps, and start and size of each video frame in data."""
+    """fps, and start and size of each video frame in data: by the index of the first RIFF, else by its chunks; further
+    RIFFs (AVIX, in files beyond the index's reach) by their chunks. A size of 0 stands for the frame before."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI file")
-    out = {"fps": 25.0, "start": np.zeros(0, np.int64), "size": np.zeros(0, np.int64)}
-    movi, index = None, None
-    for tag, a, b in _chunks(data, 12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0])):
-        kind = data[a : a + 4]
-        if tag == b"LIST" and kind == b"hdrl":
-            for tag2, a2, b2 in _chunks(data, a + 4, b):
-                if tag2 == b"LIST" and data[a2 : a2 + 4] == b"strl":
-                    for tag3, a3, _ in _chunks(data, a2 + 4, b2):
-                        if tag3 == b"strh" and data[a3 : a3 + 4] == b"vids":
-                            scale, rate = struct.unpack_from("<II", data, a3 + 20)
-                            out["fps"] = rate / scale if scale and rate else 25.0
-        elif tag == b"LIST" and kind == b"movi":
-            movi = (a, b)
-        elif tag == b"idx1":
-            index = np.frombuffer(data, "<u4", (b - a) // 16 * 4, a).reshape(-1, 4).astype(np.int64)
-    if movi is None:
-        raise ValueError("no movi list")
-    video = [int.from_bytes(b"%02d" % i + k, "little") for i in range(4) for k in (b"dc", b"db")]
-    if index is not None and len(index):
-        index = index[np.isin(index[:, 0], video)]
-        start = index[:, 2] + movi[0] + 8
-        # offsets count from the movi tag, or in some files from the file's first byte
-        if len(start) and data[start[0] - 8 : start[0] - 6] != struct.pack("<I", index[0, 0])[:2]:
-            start = index[:, 2] + 8
-        out["start"], out["size"] = start, index[:, 3]
-    else:
-        found = [(a, b - a) for tag, a, b in _chunks(data, movi[0] + 4, movi[1]) if tag[2:] in (b"dc", b"db")]
-        out["start"], out["size"] = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
-    if len(out["start"]) and ((out["start"] + out["size"]) > len(data)).any():
+    fps, found = 25.0, []
+    for riff, first, last in _chunks(data, 0, len(data)):
+        if riff != b"RIFF" or data[first : first + 4] not in (b"AVI ", b"AVIX"):
+            continue
+        movi, index = None, None
+        for tag, a, b in _chunks(data, first + 4, last):
+            kind = data[a : a + 4]
+            if tag == b"LIST" and kind == b"hdrl":
+                for tag2, a2, b2 in _chunks(data, a + 4, b):
+                    if tag2 == b"LIST" and data[a2 : a2 + 4] == b"strl":
+                        for tag3, a3, _ in _chunks(data, a2 + 4, b2):
+                            if tag3 == b"strh" and data[a3 : a3 + 4] == b"vids":
+                                scale, rate = struct.unpack_from("<II", data, a3 + 20)
+                                fps = rate / scale if scale and rate else 25.0
+            elif tag == b"LIST" and kind == b"movi":
+                movi = (a, b)
+            elif tag == b"idx1":
+                index = np.frombuffer(data, "<u4", (b - a) // 16 * 4, a).reshape(-1, 4).astype(np.int64)
+        if movi is None:
+            if not first - 8:
+                raise ValueError("no movi list")
+            continue
+        video = [int.from_bytes(b"%02d" % i + k, "little") for i in range(4) for k in (b"dc", b"db")]
+        if index is not None and len(index):
+            index = index[np.isin(index[:, 0], video)]
+            start = index[:, 2] + movi[0] + 8
+            # offsets count from the movi tag, or in some files from the file's first byte
+            if len(start) and data[start[0] - 8 : start[0] - 6] != struct.pack("<I", index[0, 0])[:2]:
+                start = index[:, 2] + 8
+            found.append(np.stack([start, index[:, 3]], 1))
+        else:
+            found.append(np.array(list(_frames_in(data, movi[0] + 4, movi[1])), np.int64).reshape(-1, 2))
+    both = np.concatenate(found)
+    out = {"fps": fps, "start": both[:, 0], "size": both[:, 1]}
+    if len(both) and ((out["start"] + out["size"]) > len(data)).any():
         raise ValueError("the index points beyond the file")
     return out
 
@@ -195,12 +211,15 @@ def _lookup(lengths: bytes, symbols: bytes) -> list[tuple[int, int]]:
 
 
 class _Bits:
+    """Bits of a scan, from a window of eight bytes that moves along."""
+
     def __init__(self, scan: bytes):
-        self.data, self.at = int.from_bytes(scan + b"\xff" * 8, "big"), 0
+        self.data, self.at = scan + b"\xff" * 16, 0
         self.bits = 8 * len(scan) + 64
 
     def peek(self, n: int) -> int:
-        return self.data >> (self.bits - self.at - n) & ((1 << n) - 1)
+        byte = self.at >> 3
+        return int.from_bytes(self.data[byte : byte + 8], "big") >> (64 - (self.at & 7) - n) & ((1 << n) - 1)
 
     def take(self, n: int) -> int:
         if self.at + n > self.bits:
@@ -357,7 +376,10 @@ def decode_frames(data: bytes, info: dict | None = None) -> np.ndarray:
     quick = _decode_packed(np.frombuffer(data, np.uint8), start, size)
     if quick is not None:
         return quick
-    frames = [decode_jpeg(data[a : a + n]) for a, n in zip(start.tolist(), size.tolist(), strict=True) if n]
+    frames: list[np.ndarray] = []
+    for a, n in zip(start.tolist(), size.tolist(), strict=True):
+        if n or frames:
+            frames.append(decode_jpeg(data[a : a + n]) if n else frames[-1])
     return np.stack(frames) if frames else np.zeros((0, 0, 0), np.uint8)
 
 

@@ -5,8 +5,8 @@ floor(rate) times plus once more when its seeded hash falls below the rate's fra
 
 Null text counts as no words; a null source is a source of its own, last in order; documents without
 words are never taken more than ``cap`` times and count nothing; repeated rows and equal ids get equal
-decisions (the hash sees the id); an empty table gives an empty result. Columns that clash with the
-ones made here are safe: working columns are prefixed and dropped.
+decisions (the hash sees the id); a null id is an id of its own; an empty table gives an empty result.
+Extra columns may have any name: they travel as one.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, whole_text
+from .common import WORD, as_row, materialize, whole_text
 
 #: Up to so many sources their targets are broadcast (about 60 bytes each); beyond, Spark joins by key.
 BROADCAST_SOURCES = 50_000
@@ -44,30 +44,27 @@ def source_targets(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
 
 
 def with_copies(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
-    """docs with _mix_size, _mix_source_size, _mix_target and _mix_copies (how often each is taken)."""
-    sized = docs.withColumn("_mix_size", word_count())
-    targets = materialize(source_targets(docs, weights, share, cap))
-    targets = targets.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"))
+    """row (all of docs' columns), doc_id, size, source_size, target and copies (how often each row is taken)."""
+    sized = docs.select(as_row(docs).alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count().alias("size"))
+    targets = materialize(source_targets(docs, weights, share, cap)).select(F.col("source").alias("of"), "source_size", "target")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    rate = F.least(F.lit(cap), F.when(F.col("_mix_source_size") > 0, F.col("_mix_target") / F.col("_mix_source_size")).otherwise(F.lit(1.0)))
+    rate = F.least(F.lit(cap), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0)))
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     chance = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    out = sized.join(targets, sized["source"].eqNullSafe(targets["_mix_source"]), "left")
-    return out.withColumn("_mix_copies", (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("int")).drop("_mix_source")
+    out = sized.join(targets, F.col("source").eqNullSafe(F.col("of")), "left")
+    return out.withColumn("copies", (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("int"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: docs' own columns, each row as often as it is taken."""
-    copies = F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))
-    taken = with_copies(docs, **options).where("_mix_copies > 0")
-    return taken.withColumn("_mix_copy", copies).select(*[f"`{c}`" for c in docs.columns])
+    taken = with_copies(docs, **options).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words the mix takes of it)."""
-    c = F.col
-    return with_copies(docs.select("doc_id", "text", "source"), **options).select("doc_id", c("_mix_size").alias("size"), c("_mix_source_size").alias("source_size"), c("_mix_target").alias("target"), (c("_mix_size") * c("_mix_copies")).alias("taken"))
+    return with_copies(docs.select("doc_id", "text", "source"), **options).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 #: DuckDB SQL for mix_report over a relation named by {docs}.

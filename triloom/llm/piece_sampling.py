@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import _BASE, _inverse_powers, _powers, batches, bounded_batches, mix64, whole_text
+from .common import _BASE, _inverse_powers, _powers, batches, bounded_batches, mix64, valid_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _NONE = -0x200000  # below the negated code points
@@ -248,7 +248,7 @@ def encode(docs: DataFrame, model: str = MODEL, alpha: float = 1.0, seed: int =
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array(np.diff(cuts)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids)), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "pieces", "decoded_sha256", "lossless"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return bounded_batches(docs).select("doc_id", whole_text().cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_pieces long, pieces array<int>, decoded_sha256 string, lossless boolean")
+    return bounded_batches(docs).select("doc_id", valid_text().cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_pieces long, pieces array<int>, decoded_sha256 string, lossless boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -4,16 +4,16 @@ Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers
 protected entity. The words within ``WINDOW`` words of its mentions are its context, and corpus counts tell
 how strongly a word gives the entity away:
 
-    disclosure(e, t) = PMI(e; t) / IC(e) = 1 + log(n_et / n_t) / log(T / m_e)
+    disclosure(e, t) = PMI(e; t) / IC(e) = 1 + log((n_et - DISCOUNT) / n_t) / log(T / m_e)
 
 with n_et the occurrences of t in the contexts of e, n_t those in the corpus, m_e the words of all contexts of
 e and T all words. It is 1 for a word that never occurs elsewhere and near or below 0 for a word that says
-nothing. Words seen with e at least ``SUPPORT`` times are generalised from ``GENERALISE`` on and removed from
-``REMOVE`` on. Base spans always stay.
+nothing; the discount is the smoothing that lets a word seen once with e count for less than one seen often. Words are
+generalised from ``GENERALISE`` on and removed from ``REMOVE`` on. Base spans always stay.
 
 Null text counts as empty and has no spans; very long texts are scanned in linear time; of two spans at one
 place both are told; repeated rows get equal rows; an empty table gives an empty result; only doc_id and text
-are read, and ``sanitise`` keeps all other columns (its working columns are prefixed and dropped).
+are read, and ``sanitise`` keeps all other columns, whatever their names. Bytes that are no UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, batches, bounded_batches, bucket_of, by_bucket, joined, materialize, prefix_hash, slice_hash, unpacked, whole_text, word_spans
+from .common import _LOWER, as_row, batches, bounded_batches, bucket_of, by_bucket, joined, materialize, partitions_for, prefix_hash, slice_hash, unpacked, valid_text, whole_text, word_spans
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
-WINDOW, SUPPORT, GENERALISE, REMOVE = 6, 2, 0.8, 0.95
+WINDOW, DISCOUNT, GENERALISE, REMOVE = 6, 0.5, 0.8, 0.95
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -142,7 +142,7 @@ def scan(docs: DataFrame, window: int = WINDOW, buckets: int = 64) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(n, part.column(0).type), pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.int64()) for _ in range(4)), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, _NEAR_PA), pa.array([b for b, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())], names)
 
-    text = whole_text()
+    text = valid_text()
     return bounded_batches(docs).select("doc_id", key_of("doc_id", text).alias("k"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, k long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near {_NEAR}, bucket int, counts binary")
 
 
@@ -161,7 +161,7 @@ def _totals(table: pa.Table) -> pa.Table:
     return pa.table({"t": pa.array([*t[asked].view(np.int64).tolist(), None], pa.int64()), "n": pa.array([*n[asked].tolist(), int(n.sum())], pa.int64())})
 
 
-def term_spans(found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def term_spans(found: DataFrame, discount: float = DISCOUNT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, k and the array ``terms`` of (start, kind number, end): the words to generalise or remove."""
     # few words are asked for: a small table, which also gives the number of all words
     totals = materialize(found.where("bucket IS NOT NULL").select("bucket", "counts").groupBy("bucket").applyInArrow(_totals, "t long, n long"))
@@ -170,8 +170,8 @@ def term_spans(found: DataFrame, support: int = SUPPORT, generalise: float = GEN
     # counted over all rows, repeated ones too
     pairs = found.where("bucket IS NULL").select(F.explode("near").alias("x")).groupBy("x.e", "x.t").agg(F.count("*").alias("n_et"))
     size = pairs.groupBy("e").agg(F.sum("n_et").alias("m_e"))
-    told = pairs.where(F.col("n_et") >= support).join(size, "e").join(totals.where("t IS NOT NULL"), "t")
-    ratio = 1 + F.log(F.col("n_et") / F.col("n")) / F.log(F.greatest(F.lit(float(everything)) / F.col("m_e"), F.lit(1.0000001)))
+    told = pairs.join(size, "e").join(totals.where("t IS NOT NULL"), "t")
+    ratio = 1 + F.log((F.col("n_et") - discount) / F.col("n")) / F.log(F.greatest(F.lit(float(everything)) / F.col("m_e"), F.lit(1.0000001)))
     told = told.withColumn("ratio", ratio).where(F.col("ratio") >= generalise)
     told = told.select("e", "t", F.when(F.col("ratio") >= remove, 5).otherwise(4).alias("kind"))
     spans = near.join(told, ["e", "t"]).groupBy("doc_id", "k", "a", "b").agg(F.max("kind").alias("kind"))
@@ -185,7 +185,8 @@ def _with_terms(found: DataFrame, **options) -> DataFrame:
 
 
 def _scanned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(whole_text())), F.lit(0))).first()[0]
+    buckets = partitions_for(docs.sparkSession, total, 4 << 20)
     return materialize(scan(docs, window, buckets))
 
 
@@ -214,7 +215,7 @@ def rewrite(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def sanitise(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     """docs with the text rewritten; its other columns as they are. A null text stays null."""
-    terms = term_spans(_scanned(docs, window), **options).select(F.col("doc_id").alias("_pii_id"), F.col("k").alias("_pii_k"), F.col("terms").alias("_pii_terms"))
+    terms = term_spans(_scanned(docs, window), **options).select(F.col("doc_id").alias("id"), F.col("k").alias("key"), "terms")
 
     @F.pandas_udf("string")
     def rewritten(text, terms):
@@ -222,5 +223,6 @@ def sanitise(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
 
         return pd.Series([None if t is None else rewrite(t, base_spans(t) + ([(x["a"], x["kind"], x["b"]) for x in more] if more is not None else [])) for t, more in zip(text, terms, strict=True)], dtype=object)
 
-    out = bounded_batches(docs).join(terms, docs["doc_id"].eqNullSafe(terms["_pii_id"]) & (key_of("doc_id", whole_text()) == terms["_pii_k"]), "left")
-    return out.withColumn("text", rewritten(F.col("text"), F.col("_pii_terms"))).select(*[f"`{c}`" for c in docs.columns])
+    rows = bounded_batches(docs).select(as_row(docs).alias("row"), F.col("doc_id").alias("doc_id"), key_of("doc_id", valid_text()).alias("k"), F.when(F.col("text").isNotNull(), valid_text()).alias("text"))
+    out = rows.join(terms, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("k") == F.col("key")), "left").withColumn("new", rewritten("text", "terms"))
+    return out.select(*[(F.col("new") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])

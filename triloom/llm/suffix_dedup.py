@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, batches, bounded_batches, bucket_of, by_bucket, joined, materialize, mix64, partitions_for, prefix_hash, slice_hash, unpacked, whole_text
+from .common import _BYTE, as_row, batches, bounded_batches, bucket_of, by_bucket, joined, materialize, mix64, partitions_for, prefix_hash, slice_hash, unpacked, whole_text
 
 LENGTH = 200
 WINDOW = 32
@@ -384,9 +384,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> D
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeated strings cut out of the text (broken characters become U+FFFD); a null text stays null."""
-    kept = repeats(docs, length, True).select(F.col("doc_id").alias("_cut_id"), F.col("k").alias("_cut_k"), F.col("kept").alias("_cut_text")).dropDuplicates(["_cut_id", "_cut_k"])
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_cut_id"]) & (F.xxhash64(whole_text(), F.col("doc_id")) == kept["_cut_k"]), "left")
-    return out.withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("_cut_text"))).select(*[f"`{c}`" for c in docs.columns])
+    kept = repeats(docs, length, True).select(F.col("doc_id").alias("id"), F.col("k").alias("key"), "kept").dropDuplicates(["id", "key"])
+    rows = docs.select(as_row(docs).alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64(whole_text(), F.col("doc_id")).alias("k"), F.col("text").isNull().alias("none"))
+    out = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("k") == F.col("key")), "left")
+    return out.select(*[(F.when(~F.col("none"), F.col("kept")) if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 #: DuckDB SQL for repeats(documents) without k.

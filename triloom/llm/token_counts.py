@@ -4,12 +4,14 @@ The vocabulary's pattern splits a text into pre-tokens, which are encoded one by
 of LEAF pre-tokens; its inner nodes hold sums of characters, pre-tokens and tokens. An edit is located by the
 character sums. Splitting starts again at the last leaf border that the edit can't touch (the pattern looks at
 most two characters past a match) and goes on until a new border past the edit falls on an old leaf border;
-from there on nothing changes. Only those leaves are encoded again and only the sums above them change. A tree
-whose leaves have grown or emptied too much is built again from its counts.
+from there on nothing changes. Only those leaves are encoded again and only the sums above them change. A tree with a
+leaf that has grown too much is built again from its counts; leaves that have emptied go then, too. ``trees`` keeps
+the trees of a table, and ``edited`` brings them up to date with a table of edits.
 
 Null text counts as empty (no tokens); very long texts only make deeper trees; edits out of range are clamped
 to the text and a null replacement deletes; edits of a document apply one after the other; repeated rows get
-equal rows; an empty table gives an empty result; only the id, the text and the edits are read.
+equal rows; an empty table gives an empty result; only the id, the text and the edits are read; bytes that are no UTF-8
+count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, whole_text
+from .common import bounded_batches, valid_text, whole_text
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern of that public vocabulary (a fixed value).
@@ -83,6 +85,17 @@ class Tree:
             for i in range(n - 1, 0, -1):
                 a[i] = a[2 * i] + a[2 * i + 1]
 
+    @classmethod
+    def kept(cls, leaves: list[tuple[str, int, int]], tokens: Counter) -> Tree:
+        """The tree of kept leaves; encodes nothing."""
+        tree = cls.__new__(cls)
+        tree.tokens, tree.encoded = tokens, 0
+        tree._build(leaves)
+        return tree
+
+    def leaves(self) -> list[tuple[str, int, int]]:
+        return [x for x in self.leaf if x[0]]
+
     def text(self) -> str:
         return "".join(x[0] for x in self.leaf)
 
@@ -189,7 +202,50 @@ def counts(docs: DataFrame, edits: Column | DataFrame | None = None, vocabulary:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in columns)], names)
 
-    return bounded_batches(docs).select("doc_id", whole_text().alias("text"), own.alias("edits")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in names[1:]))
+    return bounded_batches(docs).select("doc_id", valid_text().alias("text"), own.alias("edits")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in names[1:]))
+
+
+_LEAVES = pa.list_(pa.struct([("text", pa.string()), ("pre", pa.int64()), ("tokens", pa.int64())]))
+_TREE = "leaves array<struct<text:string,pre:long,tokens:long>>, n_chars long, n_pretokens long, n_tokens long, chars_encoded long"
+
+
+def _tree_rows(ids: pa.Array, trees: list[Tree]) -> pa.RecordBatch:
+    leaves = pa.array([[dict(zip(("text", "pre", "tokens"), x, strict=True)) for x in t.leaves()] for t in trees], _LEAVES)
+    sums = [pa.array([x[1] for x in (getattr(t, a) for t in trees)], pa.int64()) for a in ("chars", "pre", "sums")]
+    return pa.RecordBatch.from_arrays([ids, leaves, *sums, pa.array([t.encoded for t in trees], pa.int64())], ["doc_id", *(x.split()[0] for x in ("leaves", "n_chars", "n_pretokens", "n_tokens", "chars_encoded"))])
+
+
+def trees(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """doc_id, leaves (what a tree is built from) and the root's sums, to be kept as a table."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(parts):
+        tokens = counter(vocabulary, pattern)
+        for part in parts:
+            yield _tree_rows(part.column(0), [Tree(t.as_py(), tokens) for t in part.column(1)])
+
+    return bounded_batches(docs).select("doc_id", valid_text().alias("text")).mapInArrow(run, f"doc_id {kind}, {_TREE}")
+
+
+def edited(kept: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """Kept trees after a table of edits (as ``counts`` takes it); chars_encoded says how little was encoded again."""
+    kind = kept.schema["doc_id"].dataType.simpleString()
+    one = F.struct(F.coalesce("seq", F.lit(0)).alias("seq"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("text").cast("string").alias("text"))
+    listed = edits.groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_list(one)).alias("edits"))
+
+    def run(parts):
+        tokens = counter(vocabulary, pattern)
+        for part in parts:
+            out = []
+            for leaves, todo in zip(part.column(1), part.column(2), strict=True):
+                tree = Tree.kept([(x["text"], x["pre"], x["tokens"]) for x in leaves.as_py()], tokens)
+                for x in todo.as_py() or []:
+                    tree.edit(x["start"] or 0, x["end"] or 0, x["text"] or "")
+                out.append(tree)
+            yield _tree_rows(part.column(0), out)
+
+    both = bounded_batches(kept).join(listed, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "leaves", "edits")
+    return both.mapInArrow(run, f"doc_id {kind}, {_TREE}")
 
 
 def sample_edits() -> Column:

@@ -8,8 +8,8 @@ Queries and shards meet in a grid: a shard holds SHARD rows and a query group GR
 size; each cell gives at most k rows a query, which are merged by score and id.
 
 Rows with a null id, a null vector or null or non-finite components take no part; a shorter vector counts as
-padded with zeros (an empty one scores 0 everywhere); of rows that share an id the largest vector counts; ties go
-to the smaller id; queries without candidates give no rows; an empty table gives an empty result. Scores are
+padded with zeros (an empty one scores 0 everywhere); repeated ids are rows of their own, but never candidates of a query
+of their id, and equal rows (id and vector) ask once; ties go to the smaller id; queries without candidates give no rows; an empty table gives an empty result. Scores are
 exact as long as they fit in 64 bits.
 """
 
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 BLOCK, SHARD, GROUP = 64, 8192, 4096
 _NONE = np.iinfo(np.int64).min
 
@@ -85,41 +87,42 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
 
 
 def quantised(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
-    """vec_id and v, the vector in whole numbers, one row per id."""
+    """vec_id and v, the vector in whole numbers, of each row that takes part."""
     x = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     x = x.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))))
-    return x.groupBy("vec_id").agg(F.max("v").alias("v")).select("vec_id", F.transform("v", lambda y: F.floor(y * scale)).alias("v"))
+    return x.select("vec_id", F.transform("v", lambda y: F.floor(y * scale)).alias("v"))
 
 
 def search(table: DataFrame, is_query: Column | None = None, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of each query (default: ids divisible by 50)."""
-    rows = quantised(table)
+    rows = materialize(quantised(table))
     asked = F.col("vec_id") % 50 == 0 if is_query is None else is_query
     n, n_query, dims = rows.agg(F.count("*"), F.coalesce(F.sum(asked.cast("long")), F.lit(0)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     shards, groups = max(1, -(-n // SHARD)), max(1, -(-n_query // GROUP))
     shard, group = F.pmod(F.xxhash64("vec_id"), F.lit(shards)), F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(groups))
     left = rows.select(shard.cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "vec_id", "v")
-    right = rows.where(asked).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), group.cast("int").alias("part"), "vec_id", "v")
+    right = rows.where(asked).distinct().withColumn("ask", F.xxhash64("vec_id", "v")).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), group.cast("int").alias("part"), "vec_id", "v", "ask")
 
     def cell(docs: pa.Table, queries: pa.Table) -> pa.Table:
         if not docs.num_rows or not queries.num_rows:
             score, found, ids = np.zeros((0, k), np.int64), np.zeros((0, k), np.int64), np.zeros(0, np.int64)
+            asks = ids
         else:
-            ids = queries["vec_id"].to_numpy()
+            ids, asks = queries["vec_id"].to_numpy(), queries["ask"].to_numpy()
             score, found = Blocks(docs["vec_id"].to_numpy(), _matrix(docs["v"], dims)).search(ids, _matrix(queries["v"], dims), k)
         ok = score != _NONE
-        return pa.table({"query_id": np.repeat(ids, k).reshape(-1, k)[ok], "vec_id": found[ok], "score": score[ok]})
+        return pa.table({"query_id": np.repeat(ids, k).reshape(-1, k)[ok], "ask": np.repeat(asks, k).reshape(-1, k)[ok], "vec_id": found[ok], "score": score[ok]})
 
     cell.__annotations__ = {"docs": pa.Table, "queries": pa.Table, "return": pa.Table}
-    found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(cell, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(cell, "query_id long, ask long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scored AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+scored AS (SELECT q.vec_id AS query_id, q.e AS ask, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 50 = 0) q JOIN v ON true AND v.vec_id <> q.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, ask ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
