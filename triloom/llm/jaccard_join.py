@@ -45,7 +45,7 @@ from .components import components
 
 CROWD = 32
 #: What one task joins at most: sets, and shingles (8 bytes each, about four times that in work).
-SETS, SHINGLES = 512, 4_000_000
+SETS, SHINGLES = 512, 2_000_000
 #: Pivots that a cell is divided by, on average, and keys that tiny sets share at least, if they have so many shingles.
 PIVOTS, LEAST = 12, 8
 _ROW = np.dtype([("sig", "<u8"), ("k", "<u8")])
@@ -142,7 +142,7 @@ def set_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         grids = Grids(num, den)
         for part in parts:
             raw, key, n, plain = [t.as_buffer().to_pybytes() for t in part.column(1)], [], [], []
-            for i, j in batches(raw, 2 << 20):
+            for i, j in batches(raw, 1 << 20):
                 for s in shingle_sets(raw[i:j], k):
                     key.append(set_key(s) if len(s) else 0)
                     n.append(len(s))
@@ -162,7 +162,7 @@ def region_keys(docs: DataFrame, k: int, num: int, den: int, buckets: int, few:
         for part in parts:
             sig, key, size, seen = [], [], [], set()
             raw = [t.as_buffer().to_pybytes() for t in part.column(1)]
-            for i, j in batches(raw, 2 << 20):
+            for i, j in batches(raw, 1 << 20):
                 for s in shingle_sets(raw[i:j], k):
                     own = int(set_key(s)) if len(s) else None
                     if own is None or own in seen:
@@ -241,6 +241,7 @@ class Cell:
         r = self.root[who]
         while (self.root[r] != r).any():
             r = self.root[r]
+        self.root[who] = r
         return r
 
     def unite(self, who: np.ndarray) -> None:
@@ -434,7 +435,7 @@ def _class_of(k: int):
         import pandas as pd
 
         out, raw = [], list(text)
-        for a, b in batches(raw, 2 << 20):
+        for a, b in batches(raw, 1 << 20):
             out += [int(set_key(s).view(np.int64)) if len(s) else None for s in shingle_sets(raw[a:b], k)]
         return pd.Series(out + [None] * (len(raw) - len(out)), dtype="Int64")
 

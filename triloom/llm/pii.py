@@ -116,23 +116,23 @@ def scan(docs: DataFrame, window: int = WINDOW, buckets: int = 64) -> DataFrame:
             spans = [base_spans(t) for t in strings]
             near: list = [None] * len(strings)
             raw = [t.encode() for t in strings]
-            packed = []
-            for lo, hi in batches(raw):
+            words, asked = [np.zeros(0, np.uint64)], []
+            for lo, hi in batches(raw, 1 << 20):
                 data, starts = joined(raw[lo:hi])
                 begin, end, of = word_spans(data, starts)
                 h = slice_hash(prefix_hash(_LOWER[data]), begin, end)
                 at = np.searchsorted(of, np.arange(hi - lo + 1))
-                asked = []
                 for i in range(lo, hi):
                     if spans[i]:
                         a, b = at[i - lo], at[i - lo + 1]
                         near[i] = _context(strings[i], spans[i], begin[a:b] - starts[i - lo], end[a:b] - starts[i - lo], h[a:b], window)
                         asked += [x["t"] for x in near[i]]
-                t, n = np.unique(h, return_counts=True)
-                ask = np.unique(np.array(asked, np.int64).view(np.uint64))
-                records = np.zeros(len(t) + len(ask), _COUNT)
-                records["t"], records["n"][: len(t)] = np.concatenate([t, ask]), n
-                packed += by_bucket(bucket_of(records["t"], buckets), records)
+                words.append(h)
+            t, n = np.unique(np.concatenate(words), return_counts=True)
+            ask = np.unique(np.array(asked, np.int64).view(np.uint64))
+            records = np.zeros(len(t) + len(ask), _COUNT)
+            records["t"], records["n"][: len(t)] = np.concatenate([t, ask]), n
+            packed = list(by_bucket(bucket_of(records["t"], buckets), records))
             counts = np.array([[sum(k == x for _, k, _ in s) for x in range(4)] for s in spans], np.int64).reshape(-1, 4)
             told = [tell(s) for s in spans]
             yield pa.RecordBatch.from_arrays(

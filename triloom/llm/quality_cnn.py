@@ -175,7 +175,7 @@ def score(docs: DataFrame, network: Network | None, threshold: float = 0.3, fold
             texts = [t.as_buffer().to_pybytes() for t in part.column(1)]
             out = np.full(len(texts), 0.5)
             if network is not None:
-                for a, b in batches(texts, 2 << 20):
+                for a, b in batches(texts, 1 << 20):
                     out[a:b] = network.scores(texts[a:b])
             held = [fold_of(k, folds) == 0 for k in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.bool_()), pa.array(out), pa.array((out >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -193,7 +193,7 @@ def keep_good(docs: DataFrame, network: Network | None, threshold: float = 0.3)
         texts = [b"" if t is None else t for t in text]
         out = np.full(len(texts), 0.5)
         if network is not None:
-            for a, b in batches(texts, 2 << 20):
+            for a, b in batches(texts, 1 << 20):
                 out[a:b] = network.scores(texts[a:b])
         import pandas as pd
 
