@@ -455,10 +455,10 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k")).alias("x")).select(F.col("x.k").alias("_k"), F.col("x.doc_id").alias("_id"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = bounded_batches(docs).select("doc_id", F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("h"), _class_of(k)(whole_text().cast("binary")).alias("k"))
-    kept = rows.join(first, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    kept = kept.unionByName(rows.where("k IS NULL AND doc_id IS NOT NULL"))
-    kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "k").orderBy("h"))).where("n = 1").select("row")
-    out = kept.union(rows.where("k IS NULL AND doc_id IS NULL").select("row"))
+    # one pass: rows that the groups chose, and rows without words; those without an id besides are each their own
+    found = rows.join(first, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").where("_k IS NOT NULL OR k IS NULL")
+    alone = F.when(F.col("k").isNull() & F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    out = found.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "k", alone).orderBy("h"))).where("n = 1")
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
