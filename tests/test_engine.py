@@ -225,4 +225,4 @@ def test_hops_from_all_vertices_against_brute_force(spark, monkeypatch):
             found = {(s, p, o, k) for s, p, o in graph for v, k in known if v in (s, o)}
             want |= found
             known |= {(v, k) for s, _, o, k in found for v in (s, o)}
-        assert rows(queries.queries()[f"nhop_{hops}_all"](spark, "")) == sorted(want)
+        assert rows(queries.queries()[f"nhop_{hops}"](spark, "")) == sorted(want)

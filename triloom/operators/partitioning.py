@@ -118,22 +118,22 @@ def triples_of_vertices(triples: DataFrame, vertices: DataFrame) -> DataFrame:
 def expand_hops(triples: DataFrame, vertex_parts: DataFrame, hops: int) -> DataFrame:
     """s, p, o, part: every triple within so many hops of a partition's vertices, whichever way it points.
 
-    Each hop's new edges come from the last hop's new vertices only; it is written to the shared folder.
+    Triples are numbered once, so that what is found travels as numbers. Each hop's new edges come from the last hop's new
+    vertices only; it is written to the shared folder.
     """
-    edges = materialize(triples.select("s", "p", "o"))
+    edges = materialize(triples.select("s", "p", "o").distinct().withColumn("n", F.monotonically_increasing_id()))
     known = vertex_parts.select("v", "part").distinct()
-    frontier, found = known, None
-    for _ in range(hops):
-        by_s = edges.join(frontier.select(F.col("v").alias("s"), "part"), "s").select("s", "p", "o", "part", F.col("o").alias("other"))
-        by_o = edges.join(frontier.select(F.col("v").alias("o"), "part"), "o").select("s", "p", "o", "part", F.col("s").alias("other"))
-        step = materialize(by_s.union(by_o))
-        own = step.select("s", "p", "o", "part")
-        found = materialize((own if found is None else found.union(own)).distinct())
-        frontier = materialize(step.select(F.col("other").alias("v"), "part").distinct().join(known, ["v", "part"], "left_anti"))
-        known = known.union(frontier)
-    if found is None:
-        return edges.join(vertex_parts, F.lit(False)).select("s", "p", "o", "part")
-    return found
+    frontier, found = known, edges.select("n", F.lit(0).alias("part")).limit(0)
+    for hop in range(hops):
+        last = hop + 1 == hops
+        ends = [edges.select("n", F.col(a).alias("v"), *([] if last else [F.col(b).alias("other")])) for a, b in (("s", "o"), ("o", "s"))]
+        step = ends[0].join(frontier, "v").drop("v").union(ends[1].join(frontier, "v").drop("v"))
+        step = step if last else materialize(step)
+        found = materialize(found.union(step.select("n", "part")).distinct())
+        if not last:
+            frontier = materialize(step.select(F.col("other").alias("v"), "part").distinct().join(known, ["v", "part"], "left_anti"))
+            known = known.union(frontier)
+    return edges.join(found, "n").select("s", "p", "o", "part")
 
 
 # --- high degrees -------------------------------------------------------------------------------------
