@@ -38,6 +38,15 @@ def materialize(df: DataFrame) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more, as what was made of them is written."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Bytes of texts that a Python worker gets at once; with rows alone as the bound, long texts make batches large.
 BATCH_BYTES = 8 << 20
 
