@@ -118,6 +118,28 @@ def test_access_paths(spark):
     assert g.count("SELECT ?z { <a> <p> <b> . <b> <p> <c> }") == 1 and g.count("SELECT ?z { <a> <p> <b> . <b> <p> <a> }") == 0
 
 
+def test_counts_follow_triples(spark):
+    import random
+
+    draw = random.Random(5)
+    triples = {(f"<n{draw.randrange(12)}>", f"<{draw.choice('pqr')}>", f"<n{draw.randrange(12)}>") for _ in range(90)}
+    g = GraphStore.from_triples(spark.createDataFrame(sorted(triples), "s string, p string, o string"))
+    for text in (
+        "SELECT ?a { ?a <p> ?b }",
+        "SELECT ?a { ?a <p> ?b . ?c <p> ?b . ?c <q> ?d }",
+        "SELECT ?a { ?a <p> ?b . ?b <q> ?c . ?c <r> ?a }",
+        "SELECT ?a { ?a ?x ?b . ?c ?x ?a . <n1> <p> ?c }",
+        "SELECT ?a { ?a <p> ?a . ?b <q> ?c }",
+        "SELECT ?a { ?a <p> ?b . ?c <q> ?d . ?e <r> ?f FILTER(?b != ?d) }",
+        "SELECT ?a { ?a <p> ?b . ?b <none> ?c }",
+        "SELECT DISTINCT ?a { ?a <p> ?b . ?c <q> ?d . ?d <r> ?e }",
+    ):
+        assert g.count(text) == g.sparql(text).count(), text
+    # 2000 triples at a hub: 2000 ** 3 bindings
+    hub = GraphStore.from_triples(spark.range(2000).selectExpr("concat('<s', id, '>') AS s", "'<p>' AS p", "'<hub>' AS o"))
+    assert hub.count("SELECT ?a { ?a <p> ?h . ?b <p> ?h . ?c <p> ?h }") == 2000**3
+
+
 def test_dictionary(mini):
     d = {(r["term"], r["role"]): r for r in dictionary.build_dictionary(mini).collect()}
     assert len({t for t, _ in d}) == 49

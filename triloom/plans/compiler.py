@@ -54,7 +54,7 @@ def join(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.drop("_exists").crossJoin(b) if "_exists" in a.columns and "_exists" in b.columns else a.crossJoin(b)
 
 
-def component_bindings(graph, patterns: list[Pattern]) -> DataFrame:
+def _component_parts(graph, patterns: list[Pattern]) -> list[DataFrame]:
     """The component's patterns in their join order. Where the graph stores a star's predicates side by side, as tables
     do, the star is one scan and its patterns need no joins."""
     rest, parts = order(patterns, graph.selectivity), []
@@ -65,7 +65,34 @@ def component_bindings(graph, patterns: list[Pattern]) -> DataFrame:
             rest = [p for p in rest if p not in star]
         else:
             parts.append(pattern_bindings(graph, rest.pop(0)))
-    return reduce(join, parts)
+    return parts
+
+
+def component_bindings(graph, patterns: list[Pattern]) -> DataFrame:
+    return reduce(join, _component_parts(graph, patterns))
+
+
+def component_count(graph, patterns: list[Pattern]) -> DataFrame:
+    """_times: how many rows the component has, 0 without any.
+
+    Rows carry how often they stand for a binding. Before and after each join the variables that no later pattern has
+    are summed away, on the key of the join, so that what many bindings share is one row: the work follows the triples
+    and not the bindings, whose number grows with the square of a common neighbour's edges.
+    """
+    parts = _component_parts(graph, patterns)
+
+    def summed(df: DataFrame, needed: set[str]) -> DataFrame:
+        keys = [c for c in df.columns if c in needed and c != "_n"]
+        return df if len(keys) + 1 == len(df.columns) else df.groupBy(*keys).agg(F.sum("_n").alias("_n"))
+
+    out = None
+    for i, part in enumerate(parts):
+        later = {c for x in parts[i + 1 :] for c in x.columns}
+        part = summed(part.withColumn("_n", F.lit(1).cast("long")), later | set(out.columns if out is not None else ()))
+        if out is not None:
+            part = join(out.withColumnRenamed("_n", "_m"), part).withColumn("_n", F.col("_n") * F.col("_m")).drop("_m")
+        out = summed(part, later)
+    return out.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("_times"))
 
 
 def _asked(query: Query) -> set[str]:
@@ -91,12 +118,14 @@ def bindings(graph, query: Query) -> DataFrame:
     """
     parts, others = [], []
     for c in components(query.patterns):
-        (parts if _names(c) & _asked(query) else others).append(component_bindings(graph, c))
+        if _names(c) & _asked(query):
+            parts.append(component_bindings(graph, c))
+        else:
+            others.append(component_bindings(graph, c).limit(1).select(F.lit(1).cast("long").alias("_times")) if query.distinct else component_count(graph, c).where("_times > 0"))
     if not parts and not others:
         raise QueryError("no pattern")
     out = reduce(join, parts) if parts else None
-    for df in others:
-        times = df.limit(1).select(F.lit(1).cast("long").alias("_times")) if query.distinct else df.agg(F.count("*").alias("_times")).where("_times > 0")
+    for times in others:
         if out is None:
             out = times.select(F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(F.lit(True).alias("_exists"))
         elif query.distinct:
@@ -107,7 +136,8 @@ def bindings(graph, query: Query) -> DataFrame:
 
 
 def count_query(graph, query: Query) -> DataFrame:
-    """bindings: how many rows the query has. Components that no filter ties together are counted apart."""
+    """bindings: how many rows the query has. Components that no filter ties together are counted apart, and those that no
+    filter reads without building their rows."""
     if query.distinct:
         return compile_query(graph, query).agg(F.count("*").alias("bindings"))
     _prepare(graph, query)
@@ -122,8 +152,11 @@ def count_query(graph, query: Query) -> DataFrame:
         groups = [g for g in groups if g not in tied] + [one]
     out = None
     for i, (patterns, filters) in enumerate(groups):
-        own = Query(sorted(_names(patterns)), patterns, filters + (loose if not i else []))
-        n = compile_query(graph, own, decoded=False).agg(F.count("*").alias(f"n{i}"))
+        filters = filters + (loose if not i else [])
+        if filters:
+            n = compile_query(graph, Query(sorted(_names(patterns)), patterns, filters), decoded=False).agg(F.count("*").alias(f"n{i}"))
+        else:
+            n = component_count(graph, patterns).withColumnRenamed("_times", f"n{i}")
         out = n if out is None else out.crossJoin(n)  # one row each
     return out.select(reduce(lambda a, b: a * b, [F.col(f"n{i}") for i in range(len(groups))]).alias("bindings"))
 
