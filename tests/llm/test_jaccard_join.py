@@ -116,3 +116,10 @@ def test_keep_one_with_null_ids_and_an_id_with_two_texts(spark):
     got = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(frame(spark, data)).collect()]
     want = [(None, a), (None, b), (None, ""), (None, None), (5, c), (6, d), (7, e), (8, "")]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_keep_one_keeps_rows_without_words_and_id(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    data = [(1, text, "a"), (2, text, "a"), (None, "", "a"), (None, "", "a"), (None, " \t", "b"), (3, None, "b"), (1, text, "a")]
+    out = jaccard_join.keep_one(spark.createDataFrame(data, "doc_id long, text string, source string"))
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(str(x) for x in [data[0], *data[2:6]])

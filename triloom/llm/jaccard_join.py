@@ -447,7 +447,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
 
     Rows are told apart by their id and their own text's class, so that each group keeps one row if its ids are null
     or stand at other texts too. Of repeated rows of an id and class, and of an id's texts without words, the first in
-    order of all columns' hash stays.
+    order of all columns' hash stays; rows without words and id all stay.
     """
     from pyspark.sql import Window
 
@@ -455,10 +455,11 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k")).alias("x")).select(F.col("x.k").alias("_k"), F.col("x.doc_id").alias("_id"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = bounded_batches(docs).select("doc_id", F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("h"), _class_of(k)(whole_text().cast("binary")).alias("k"))
-    # one pass: rows that the groups chose, and rows without words; those without an id besides are each their own
+    # rows without words and id are each their own; numbered as they are read, a lost task's rows get the same numbers again
+    rows = rows.withColumn("alone", F.when(F.col("k").isNull() & F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    # one pass: rows that the groups chose, and rows without words
     found = rows.join(first, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").where("_k IS NOT NULL OR k IS NULL")
-    alone = F.when(F.col("k").isNull() & F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    out = found.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "k", alone).orderBy("h"))).where("n = 1")
+    out = found.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "k", "alone").orderBy("h"))).where("n = 1")
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
