@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import _BASE, _inverse_powers, _powers, batches, bounded_batches, mix64, valid_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_NONE = -0x200000  # below the negated code points
+_SLOT = np.uint64((1 << 20) - 1)  # the bits of a hash that choose its slot
 
 
 class Pieces:
@@ -66,19 +66,25 @@ class Pieces:
             of = np.flatnonzero(lengths == length)
             code = np.stack([np.frombuffer(names[i].encode("utf-32-le"), np.uint32) for i in of])
             hashes[of] = _finish((mix64(code.astype(np.uint64)) * _powers(int(length), _BASE)).sum(1, dtype=np.uint64), length)
-        order = np.argsort(hashes)
-        self.hashes, self.ids, self.weights = hashes[order], np.array(ids)[order], np.array(weights)[order]
-        if (self.hashes[1:] == self.hashes[:-1]).any():
+        if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two pieces share a hash")
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        order = np.argsort(hashes & _SLOT)
+        self.hashes, self.ids, self.weights = hashes[order], np.array(ids)[order], np.array(weights)[order]
+        slot, first, many = np.unique(self.hashes & _SLOT, return_index=True, return_counts=True)
+        self.most = int(many.max(initial=1))  # pieces of a slot
+        self.first = np.full(int(_SLOT) + 1, -1, np.int32)
+        self.first[slot.astype(np.int64)] = first
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are pieces', and the pieces' places in ids and weights."""
-        may = np.flatnonzero(self.seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        at = np.searchsorted(self.hashes, h[may])
-        at[at == len(self.hashes)] = 0
-        ok = self.hashes[at] == h[may]
+        at = self.first[(h & _SLOT).astype(np.int64)]
+        may = np.flatnonzero(at >= 0)
+        at, h = at[may], h[may]
+        ok = self.hashes[at] == h
+        for _ in range(1, self.most):  # the slot's next piece, or one of another slot, which has another hash
+            rest = np.flatnonzero(~ok)
+            at[rest] = np.minimum(at[rest] + 1, len(self.hashes) - 1)
+            ok[rest] = self.hashes[at[rest]] == h[rest]
         return may[ok], at[ok]
 
     def decode(self, ids: list[int]) -> bytes:
@@ -238,7 +244,7 @@ def encode(docs: DataFrame, model: str = MODEL, alpha: float = 1.0, seed: int =
         for part in parts:
             raw = [t.as_buffer().to_pybytes() for t in part.column(1)]
             keys = row_keys(part.column(0).to_pylist())
-            for a, b in batches(raw, 1 << 20):
+            for a, b in batches(raw, 2 << 20):
                 ids, cuts = sample([t.decode() for t in raw[a:b]], keys[a:b], p, seed)
                 flat, digest, same = ids.tolist(), [], []
                 for i in range(b - a):
