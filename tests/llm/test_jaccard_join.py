@@ -79,6 +79,37 @@ def test_cells_blocks_and_counts(spark, monkeypatch):
                 assert [count[i] for i in range(n)] == (near * weight).sum(1).tolist()
 
 
+def test_sets_on_disk_and_shuffles_of_texts_are_bounded(spark, monkeypatch):
+    """Where all documents are candidates, their sets are never all on disk; the rest is one shuffle of the texts."""
+    import os
+
+    texts = {}
+    for i in range(120):  # near copies, and a group whose members have half of their words in common
+        texts[i], texts[1000 + i] = prose(120, i), prose(120, i) + " more"
+        texts[2000 + i] = prose(60, 5000) + " " + prose(25, 6000 + i)
+    want = similar(texts, 5, 80, 100)
+    monkeypatch.setattr(jaccard_join, "SETS", 24)
+    monkeypatch.setattr(jaccard_join, "ROOM", 1 << 10, raising=False)
+    folders, live, inner = [], [], jaccard_join.materialize
+
+    def watched(df):
+        out = inner(df)
+        if "set" in out.columns:
+            folders.extend({f.rsplit("/", 1)[0].removeprefix("file://") for f in out.inputFiles()})
+            live.append(sum(os.path.getsize(f"{x}/{f}") for x in set(folders) if os.path.isdir(x) for f in os.listdir(x)))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", watched)
+    docs = frame(spark, [(i, t, "en", "s", 1, 1, "x", "y") for i, t in texts.items()]).repartition(2)
+    kept = jaccard_join.keep_one(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    every = 8 * sum(len(shingles(t, 5)) for t in texts.values())
+    assert live and max(live) < every and not any(os.path.isdir(x) for x in folders)
+    # of all shuffles of the final plan, those that carry whole rows
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in line and "hashpartitioning(p#" in line for line in plan.splitlines()) <= 2 and "hashpartitioning(doc_id#" not in plan
+
+
 def test_keep_one_keeps_columns_and_one_of_each(spark):
     texts = edge_texts()
     data = rows(texts) + rows(texts)[3:4]  # a repeated row

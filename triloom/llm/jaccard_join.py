@@ -35,12 +35,14 @@ read, extra columns of ``keep_one``'s input stay as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bounded_batches, bucket_of, by_bucket, materialize, mix64, partitions_for, unpacked, whole_text, word_hashes
+from .common import batches, bounded_batches, bucket_of, by_bucket, discard, materialize, mix64, partitions_for, unpacked, whole_text, word_hashes
 from .components import components
 
 CROWD = 32
@@ -48,6 +50,8 @@ CROWD = 32
 SETS, SHINGLES = 512, 2_000_000
 #: Pivots that a cell is divided by, on average, and keys that tiny sets share at least, if they have so many shingles.
 PIVOTS, LEAST = 12, 8
+#: Bytes of sets that are written at once, at least; a quarter of all texts' bytes where that is more.
+ROOM = 16 << 20
 _ROW = np.dtype([("sig", "<u8"), ("k", "<u8")])
 _M64 = (1 << 64) - 1
 
@@ -314,12 +318,13 @@ def _distances(num: int, den: int):
 _SETS = "unit long, k long, set binary, weight long, home boolean, side int, was long"
 
 
-def _divided(rows: DataFrame, turn: int, num: int, den: int, counting: bool) -> tuple[DataFrame, DataFrame]:
-    """Cells of rows (with sets, the size of the unit, and parts, the tasks that it needs), and links found on the way."""
+def _divided(rows: DataFrame, turn: int, num: int, den: int, counting: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells of rows (with sets, the size of the unit, and parts, the tasks that it needs), links found on the way, and the
+    table that both are read from."""
     share = F.pmod(F.xxhash64("k", F.lit(turn)), F.col("sets")) < PIVOTS
     chosen = rows.where(F.col("home") & share).select(*[F.col(c).alias(c) for c in ("unit", "k", "set")], F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("salt"))
     members = rows.select("unit", "k", "set", "weight", "home", F.lit(0).alias("side"), F.col("sets").alias("was"), F.pmod(F.xxhash64("k", F.lit(-1)), F.col("parts")).cast("int").alias("salt"))
-    seen = materialize(members.groupBy("unit", "salt").cogroup(chosen.groupBy("unit", "salt")).applyInArrow(_distances(num, den), f"{_SETS}, pivots array<long>, d array<double>, linked array<boolean>"))
+    seen = measured = materialize(members.groupBy("unit", "salt").cogroup(chosen.groupBy("unit", "salt")).applyInArrow(_distances(num, den), f"{_SETS}, pivots array<long>, d array<double>, linked array<boolean>"))
     eps = 1 - num / den + 1e-9
     links = seen.select("k", F.explode(F.arrays_zip("pivots", "linked")).alias("x")).where("x.linked AND x.pivots <> k").select("k", F.col("x.pivots").alias("head"))
     if not counting:
@@ -337,7 +342,7 @@ def _divided(rows: DataFrame, turn: int, num: int, den: int, counting: bool) ->
     at_home = F.col("home") & (F.col("cell").isNull() | (F.col("cell") + 1 == F.array_position("d", least)))
     unit = F.xxhash64("unit", F.lit(turn), F.get("pivots", F.col("cell")))
     was = F.when(F.col("cell").isNotNull(), F.col("was")).otherwise(F.lit(1).cast("long"))
-    return cells.select(unit.alias("unit"), "k", "set", "weight", at_home.alias("home"), "side", was.alias("was")), links
+    return cells.select(unit.alias("unit"), "k", "set", "weight", at_home.alias("home"), "side", was.alias("was")), links, measured
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
@@ -348,26 +353,42 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     return pairs.select(unit.alias("unit"), "k", "set", "weight", "home", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "was")
 
 
-def join_units(rows: DataFrame, num: int, den: int, counting: bool) -> DataFrame:
-    """k, head (a set that k is connected with) and links (in parts, to be summed) of the sets of units."""
+def join_units(rows: DataFrame, num: int, den: int, counting: bool, room: int = 1 << 28, turn: int = 0) -> DataFrame:
+    """k, head (a set that k is connected with) and links (in parts, to be summed) of the sets of units.
+
+    Copies of sets, for cells and pairs of blocks, are made in turns of about room bytes, one turn after the other down to
+    its last cells; rows (materialized) and copies are deleted as soon as nothing reads them any more.
+    """
     def joined(cells: DataFrame) -> DataFrame:
-        return cells.groupBy("unit").applyInArrow(_joined(num, den, counting), "k long, head long, links long")
+        return materialize(cells.groupBy("unit").applyInArrow(_joined(num, den, counting), "k long, head long, links long"))
+
+    def in_turns(copies: DataFrame, size: int) -> list[DataFrame]:
+        n = max(1, -(-size // room))
+        return [copies.where(F.pmod(F.xxhash64("unit", F.lit(-4)), F.lit(n)) == i) for i in range(n)] if n > 1 else [copies]
+
+    def total(copies: DataFrame, size) -> int:
+        return int(copies.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
 
     parts = F.ceil(F.greatest(F.col("sets") / SETS, F.col("shingles") / SHINGLES))
-    out, turn = None, 0
-    while True:
-        sizes = rows.groupBy("unit").agg(F.count("*").alias("sets"), F.sum(F.length("set") / 8).alias("shingles"), F.max("was").alias("_was"))
-        large = materialize(sizes.where((F.col("sets") > SETS) | ((F.col("shingles") > SHINGLES) & (F.col("sets") > 16))).select("unit", "sets", parts.alias("parts"), (F.col("sets") > 0.7 * F.col("_was")).alias("dense")))
-        if not large.limit(1).count():
-            last = joined(rows)
-            return last if out is None else out.unionByName(last)
-        rest = rows.join(large, "unit")
-        dense = F.coalesce(F.col("dense"), F.lit(False))
-        found = joined(rows.join(large, "unit", "left_anti")).unionByName(joined(_in_blocks(rest.where(dense))))
-        cells, links = _divided(rest.where(~dense), turn, num, den, counting)
-        found = found.unionByName(links.withColumn("links", F.lit(None).cast("long")))
-        out = found if out is None else out.unionByName(found)
-        rows, turn = materialize(cells), turn + 1
+    sizes = rows.groupBy("unit").agg(F.count("*").alias("sets"), F.sum(F.length("set") / 8).alias("shingles"), F.max("was").alias("_was"))
+    dense = F.coalesce(F.col("sets") > 0.7 * F.col("_was"), F.lit(False))
+    large = materialize(sizes.where((F.col("sets") > SETS) | ((F.col("shingles") > SHINGLES) & (F.col("sets") > 16))).select("unit", "sets", parts.alias("parts"), dense.alias("dense")))
+    kinds = {r["dense"] for r in large.select("dense").distinct().collect()}
+    found = [joined(rows.join(large, "unit", "left_anti") if kinds else rows)]
+    rest = rows.join(large, "unit")
+    if True in kinds:
+        crowd = rest.where("dense")
+        found += map(joined, in_turns(_in_blocks(crowd), total(crowd, F.length("set") * F.col("parts"))))
+    if False in kinds:
+        cells, links, measured = _divided(rest.where("NOT dense"), turn, num, den, counting)
+        discard(rows)
+        found.append(materialize(links.withColumn("links", F.lit(None).cast("long"))))
+        for some in in_turns(cells, total(cells, F.length("set"))):
+            found.append(join_units(materialize(some), num, den, counting, room, turn + 1))
+        discard(measured)
+    else:
+        discard(rows)
+    return reduce(DataFrame.unionByName, found)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -405,9 +426,17 @@ def classes_and_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     members = regions.join(shared, ["k", "grid"]).where((F.col("shared") >= F.col("a")) & (~crowded | (F.col("crowded") >= F.col("a")))).select("region", "k").distinct()
     heads = members.groupBy("region").agg(F.min("k").alias("head"), F.count("*").alias("many")).where("many > 1")
     united = components(members.join(heads, "region").where("k <> head"), "k", "head").withColumnRenamed("node", "k").withColumnRenamed("label", "unit")
-    wanted = materialize(united.join(classes, "k").select("unit", "k", "doc_id", "weight"))
-    rows = _sets_of(docs, wanted, k).select("*", F.lit(True).alias("home"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("was"))
-    return table, classes, materialize(join_units(materialize(rows), num, den, counting))
+    wanted = materialize(united.join(classes, "k").select("unit", "k", "doc_id", "weight", "n"))
+    discard(regions)
+    # sets of many candidates are larger than the texts: they are written and joined in turns, whole units in each
+    room = max(ROOM, total // 4)
+    turns = max(1, -(-8 * wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // room))
+    found = []
+    for i in range(turns):
+        share = wanted.where(F.pmod(F.xxhash64("unit", F.lit(-3)), F.lit(turns)) == i) if turns > 1 else wanted
+        rows = _sets_of(docs, share, k).select("*", F.lit(True).alias("home"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("was"))
+        found.append(join_units(materialize(rows), num, den, counting, room))
+    return table, classes, reduce(DataFrame.unionByName, found)
 
 
 def _labelled(docs: DataFrame, k: int, num: int, den: int, counting: bool) -> tuple[DataFrame, DataFrame]:
@@ -457,9 +486,11 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     rows = bounded_batches(docs).select("doc_id", F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("h"), _class_of(k)(whole_text().cast("binary")).alias("k"))
     # rows without words and id are each their own; numbered as they are read, a lost task's rows get the same numbers again
     rows = rows.withColumn("alone", F.when(F.col("k").isNull() & F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    # one pass: rows that the groups chose, and rows without words
-    found = rows.join(first, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").where("_k IS NOT NULL OR k IS NULL")
-    out = found.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "k", "alone").orderBy("h"))).where("n = 1")
+    # one pass and one shuffle: rows that the groups chose, and rows without words; join and window are dealt by one hash
+    rows, first = rows.withColumn("p", F.xxhash64("k", "doc_id", "alone")), first.withColumn("_p", F.xxhash64("_k", "_id"))
+    chosen = (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    found = rows.join(first, F.col("p") == F.col("_p"), "left").where(chosen | F.col("k").isNull())
+    out = found.withColumn("n", F.row_number().over(Window.partitionBy("p", "doc_id", "k", "alone").orderBy("h"))).where("n = 1")
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
