@@ -8,6 +8,7 @@ from triloom.functions import terms
 from triloom.functions.terms import RDF_TYPE, XSD
 from triloom.operators import dictionary, layout, partitioning, statistics
 from triloom.plans import query_graph
+from triloom.plans.ordering import order
 from triloom.plans.sparql import QueryError, Var, parse
 from triloom.sources import encoded, generator, ntriples, rdfxml
 from triloom.sources.sample import NTRIPLES, PROLOGUE
@@ -140,6 +141,12 @@ def test_counts_follow_triples(spark):
     assert hub.count("SELECT ?a { ?a <p> ?h . ?b <p> ?h . ?c <p> ?h }") == 2000**3
 
 
+def test_stars_come_first_without_statistics():
+    """A cycle whose first pattern joins on an object: the star of the other two is joined before."""
+    q = parse("SELECT ?p ?s { ?s <supplies> ?p . ?o <has_part> ?p . ?o <has_supplier> ?s }")
+    assert [p.p for p in order(q.patterns)] == ["<has_part>", "<has_supplier>", "<supplies>"]
+
+
 def test_dictionary(mini):
     d = {(r["term"], r["role"]): r for r in dictionary.build_dictionary(mini).collect()}
     assert len({t for t, _ in d}) == 49
