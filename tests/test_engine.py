@@ -141,6 +141,14 @@ def test_counts_follow_triples(spark):
     assert hub.count("SELECT ?a { ?a <p> ?h . ?b <p> ?h . ?c <p> ?h }") == 2000**3
 
 
+def test_counts_beyond_a_long(spark):
+    g = GraphStore.from_triples(spark.range(1300).selectExpr("concat('<s', id, '>') AS s", "'<p>' AS p", "'<hub>' AS o"))
+    text = "SELECT * { " + " . ".join(f"?a{i} <p> ?h . ?b{i} <p> ?h".replace("?h", f"?h{i}") for i in range(4)) + " }"
+    assert g.count(text) == 1300**8 > 1 << 63
+    assert g.bindings_count(text).schema["bindings"].dataType.simpleString() == "decimal(38,0)"
+    assert g.bindings_count("SELECT * { ?a <p> ?b . ?c <p> ?d }").dtypes == [("bindings", "bigint")]
+
+
 def test_stars_come_first_without_statistics():
     """A cycle whose first pattern joins on an object: the star of the other two is joined before."""
     q = parse("SELECT ?p ?s { ?s <supplies> ?p . ?o <has_part> ?p . ?o <has_supplier> ?s }")
