@@ -155,6 +155,18 @@ def test_stars_come_first_without_statistics():
     assert [p.p for p in order(q.patterns)] == ["<has_part>", "<has_supplier>", "<supplies>"]
 
 
+def test_saving_shuffles_terms_once_and_drops_its_tables(spark, tmp_path):
+    import hashlib
+
+    data = [(f"<s{i % 50}>", f"<p{i % 3}>", f"<s{i % 7}>") for i in range(200)]
+    g = GraphStore.from_triples(spark.createDataFrame(data * 2, "s string, p string, o string")).save(str(tmp_path / "g"))
+    ids = {r["term"]: r["id"] for r in spark.read.parquet(str(tmp_path / "g/dictionary")).collect()}
+    assert ids == {t: i for i, t in enumerate(sorted({x for r in data for x in r}, key=lambda t: hashlib.sha1(t.encode()).hexdigest()), 1)}
+    assert rows(g.triples()) == sorted(set(data)) and dictionary.look_up(g.graph._dictionary, ["<s3>", "<none>"]) == {"<s3>": ids["<s3>"]}
+    assert {r["term"]: (r["subjects"], r["triples"]) for r in g.graph._predicates.collect()} == {p: (len({s for s, q, _ in data if q == p}), len({x for x in data if x[1] == p})) for p in ("<p0>", "<p1>", "<p2>")}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("triloom_") and "bucketed" not in t.name]
+
+
 def test_dictionary(mini):
     d = {(r["term"], r["role"]): r for r in dictionary.build_dictionary(mini).collect()}
     assert len({t for t, _ in d}) == 49
