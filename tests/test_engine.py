@@ -155,6 +155,24 @@ def test_stars_come_first_without_statistics():
     assert [p.p for p in order(q.patterns)] == ["<has_part>", "<has_supplier>", "<supplies>"]
 
 
+@pytest.mark.parametrize("encoded", [None, False, True])
+def test_products_of_heavy_keys_are_dealt(spark, tmp_path, monkeypatch, encoded):
+    """Two common objects: the join has more tasks than keys, ids are decoded before it, and its rows are all there, once."""
+    from triloom.plans import compiler
+
+    monkeypatch.setattr(compiler, "CELL", 50)
+    data = [(f"<c{i}>", "<in>", f"<n{i % 2}>") for i in range(40)] + [(f"<s{i}>", "<near>", f"<n{i % 3}>") for i in range(30)]
+    g = GraphStore.from_triples(spark.createDataFrame(data, "s string, p string, o string"))
+    g = g if encoded is None else g.save(str(tmp_path / "g"), encoded=encoded)
+    got = g.sparql("SELECT ?c ?s { ?c <in> ?n . ?s <near> ?n }")
+    assert rows(got) == sorted((a, b) for a, p, n in data for b, q, m in data if p == "<in>" and q == "<near>" and n == m)
+    assert rows(g.sparql("SELECT ?n ?s { ?c <in> ?n . ?s <near> ?n FILTER(?s != <s0>) }")) == sorted((n, b) for _, p, n in data for b, q, m in data if p == "<in>" and q == "<near>" and n == m and b != "<s0>")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_rows_block" in plan
+    if encoded:  # no join above the product
+        assert [x for x in plan.splitlines() if "Join" in x][0].count("_rows_block") == 2
+
+
 def test_saving_shuffles_terms_once_and_drops_its_tables(spark, tmp_path):
     import hashlib
 
