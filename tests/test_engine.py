@@ -227,6 +227,20 @@ def test_partitioning(spark, mini):
     assert label.count() == 30 and label.select("v").distinct().count() == 30
 
 
+def test_replicas_are_one_row_a_triple(spark):
+    """A hub that 70 parts reach: the triples' parts are bits of two words, and the rows are those of brute force."""
+    data = {(f"<v{i}>", "<p>", "<hub>") for i in range(70)} | {("<hub>", "<q>", "<far>"), ("<far>", "<q>", "<end>"), ("<end>", "<q>", "<off>")}
+    parts = {(f"<v{i}>", i) for i in range(70)}
+    found = partitioning.replicas(spark.createDataFrame(sorted(data) * 2, "s string, p string, o string"), spark.createDataFrame(sorted(parts), "v string, part int"), 2)
+    known, want = set(parts), set()
+    for _ in range(2):
+        step = {(s, p, o, k) for s, p, o in data for v, k in known if v in (s, o)}
+        want |= step
+        known |= {(v, k) for s, _, o, k in step for v in (s, o)}
+    assert rows(found.rows()) == sorted(want) and found._masked.count() == 71
+    assert rows(found.rows("s")) == sorted((s, p, o, k) for s, p, o, k in want if (s, k) in parts) and not found.rows("o").count()
+
+
 def test_small_partition_operators(spark):
     adj = spark.createDataFrame([(2, [4]), (4, [2])], "v long, neighbours array<long>")
     assert rows(partitioning.fill_isolated(adj)) == [(1, []), (2, [4]), (3, []), (4, [2])]
