@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from triloom import GraphStore
 from triloom.functions import terms
 from triloom.functions.terms import RDF_TYPE, XSD
-from triloom.operators import dictionary, layout, partitioning, statistics
+from triloom.operators import dictionary, layout, partitioning, shared, statistics
 from triloom.plans import query_graph
 from triloom.plans.ordering import order
 from triloom.plans.sparql import QueryError, Var, parse
@@ -241,6 +241,19 @@ def test_replicas_are_one_row_a_triple(spark):
     assert rows(found.rows("s")) == sorted((s, p, o, k) for s, p, o, k in want if (s, k) in parts) and not found.rows("o").count()
 
 
+def test_labels_and_votes_are_all_that_is_shuffled(spark):
+    """Edges in clusters join with labels as they lie; a hub's neighbours are never one row; labels follow neighbours."""
+    data = [(f"a{i}", "A") for i in range(40)] + [(f"b{i}", "B") for i in range(40)]
+    both = spark.createDataFrame(data + [(w, v) for v, w in data], "v string, w string")
+    with shared.clustered(both.union(both), "w") as edges:
+        assert "Exchange" not in edges.groupBy("w").agg(F.count("*"))._jdf.queryExecution().executedPlan().toString()
+        assert edges.count() == 160
+        label = dict(rows(partitioning.assign_by_edges(edges, edges.select(F.col("w").alias("v")).distinct(), 2, 6, 1.3)))
+    alike = sum(label[v] == label[w] for v, w in data)
+    by_hash = dict(rows(partitioning.assign_by_hash(both.select("v"), 2)))
+    assert len(label) == 82 and alike > sum(by_hash[v] == by_hash[w] for v, w in data)
+
+
 def test_small_partition_operators(spark):
     adj = spark.createDataFrame([(2, [4]), (4, [2])], "v long, neighbours array<long>")
     assert rows(partitioning.fill_isolated(adj)) == [(1, []), (2, [4]), (3, []), (4, [2])]
